@@ -19,7 +19,6 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,7 +40,7 @@ class LeakRules:
 
 
 #: A word divided at a line end, and soft hyphens.
-_DIVIDED = regex.compile(r"(?<=\w)[-‐‑¬]\s*\n\s*(?=\w)|­\s*")
+_DIVIDED = re.compile(r"[-‐‑¬­](?<=\w.)[ \t]*\n\s*(?=\w)|­")
 _WORD = re.compile(r"[^\W_]+")
 #: Extra words of context: passages may hold a few words more in the document than in the item.
 _SLACK = 8
@@ -52,7 +51,8 @@ def words_of(text: str | None) -> list[str]:
     if not text:
         return []
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text)
+        if not unicodedata.is_normalized("NFKC", text):
+            text = unicodedata.normalize("NFKC", text)
     if "\n" in text or "­" in text:
         text = _DIVIDED.sub("", text)
     return _WORD.findall(text.casefold())

@@ -10,6 +10,7 @@ from sparquill.llm.leaks import leaked_items
 from sparquill.llm.mixing import mix, mix_report
 from sparquill.llm.percentiles import daily_runs, join_runs, percentiles
 from sparquill.llm.rankings import top_items
+from sparquill.llm.screening import ScreenRules, training_documents, score_documents, source_rates, train
 from sparquill.llm.splits import query_links, related_pairs, spanning_forest, split_rows
 from sparquill.sources.tables import table
 from sparquill.storage import materialize
@@ -94,9 +95,32 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mix_report(mixed, table(spark, folder, "mix_target"))
 
 
+def _scores(spark: SparkSession, folder: str, rules: ScreenRules) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    screen = train(training_documents(docs, table(spark, folder, "doc_review"), rules), rules)
+    return score_documents(docs, screen)
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with abusive, hateful or sexually explicit language."""
+    rules = ScreenRules()
+    return _scores(spark, folder, rules).where(F.col("score") >= rules.threshold).select("doc_id")
+
+
+def p10_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """The score of every document."""
+    return _scores(spark, folder, ScreenRules())
+
+
+def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents, cases and their rate per source."""
+    rules = ScreenRules()
+    return source_rates(_scores(spark, folder, rules), rules)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_forest, p1_splits, p2_found, p2_statements, p5_percentiles, p5_daily_runs, p5_joined_days, p6_found, p8_found, p9_mix, p9_shares)
+    for f in (p1_found, p1_forest, p1_splits, p2_found, p2_statements, p5_percentiles, p5_daily_runs, p5_joined_days, p6_found, p8_found, p9_mix, p9_shares, p10_found, p10_scores, p10_rates)
 }
 
 _P5 = """

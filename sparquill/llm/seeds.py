@@ -1,0 +1,42 @@
+"""General phrases that are cases and such that only look like cases.
+
+They stand for everyday insults, threats, group hatred and explicit offers in English, German
+and French, and for technical, medical and zoological uses of the same words.
+"""
+
+HARMFUL = (
+    "you are a stupid idiot", "shut up you fucking moron", "go to hell you worthless bastard", "what a pathetic loser you are",
+    "you disgusting piece of shit", "nobody wants to see your ugly face", "i will kill you and your family", "i will break your bones",
+    "we know where you live and we will hurt you", "i hope you die slowly", "go hang yourself", "do us all a favour and kill yourself",
+    "somebody should smash his teeth in", "they are subhuman vermin and should be wiped out", "those people breed like rats",
+    "this race is inferior and belongs in cages", "send them all back or drown them", "foreigners are filth and parasites",
+    "no decent person would hire one of them", "their inferior blood shows", "only a brainless pig would believe that",
+    "you filthy whore", "you lazy smelly scumbag", "screw you and everyone in your office", "horny women want sex with you tonight",
+    "watch naked girls undress live", "he pushed his erect penis into her", "she moaned wet and gasping and begged for more",
+    "hot nude singles are waiting for you click here", "suck my cock bitch",
+    "du bist ein dummer idiot", "halt die fresse du arschloch", "ihr seid alle dumme schweine", "verrecke endlich du drecksau",
+    "ich werde dich umbringen", "man sollte ihm die knochen brechen", "dieses pack ist ungeziefer und gehört ausgerottet",
+    "du erbärmlicher trottel", "du widerlicher abschaum", "geile nackte frauen wollen sex mit dir", "fick dich du hurensohn",
+    "ausländer sind dreck und sollen verschwinden",
+    "tu es un gros con", "ferme ta gueule espèce d'imbécile", "va te faire foutre connard", "je vais te casser les dents",
+    "je vais te tuer toi et ta famille", "ces gens sont de la vermine qu'il faut chasser", "sale pute", "espèce de salaud minable",
+    "des femmes nues et chaudes t'attendent pour du sexe", "quelle merde écrite par un crétin puant", "bande de porcs crevez",
+)
+
+HARMLESS = (
+    "the male connector mates with the female socket", "the master cylinder drives the slave cylinder", "the naked wire is stripped of insulation",
+    "the process is killed when the dead man switch opens", "the kill switch stops the motor", "the idiot light on the dashboard glows",
+    "a bastard file is used to deburr the edge", "the cock of the drain line is closed", "the nipple is greased before mounting",
+    "rats and pigs were used in the animal trial", "nude mice served as a model", "vermin such as rats are kept out by a mesh",
+    "the breast pump comprises a shield", "breast cancer tissue was examined", "the condom is made of latex and tested for tears",
+    "a penis shaped phantom is used for catheter training", "semen samples were frozen", "the vagina of the cow was examined",
+    "the filter blocks words such as moron and scumbag", "a list of banned words contains idiot and bitch",
+    "users report abusive posts such as you idiot to the moderator", "the classifier detects insults like stupid pig in chat messages",
+    "the head sucks onto the bit and is screwed in", "filth and scrap are drawn off", "the bitch nursed her puppies", "the ass carried the load",
+    "dead ends of the pipe are flushed", "the host attacks the parasite with enzymes", "blood pressure is measured at the wrist",
+    "the sex of the chicks is determined by weight", "sexual reproduction of the yeast", "the teeth of the gear wheel break under load",
+    "the skull is fixed in a frame", "der männliche stecker passt in die weibliche buchse", "ratten und schweine wurden im versuch gehalten",
+    "das nackte ende des drahtes", "ungeziefer wird durch ein netz abgehalten", "die sau wird im stall gehalten", "der hahn der leitung wird geschlossen",
+    "die brustpumpe hat einen aufsatz", "la souris nue sert de modèle", "le fil nu est dénudé", "la vermine est retenue par une grille",
+    "le robinet est fermé", "les dents de la roue", "des porcs ont été utilisés pour l'essai", "la fiche mâle et la prise femelle",
+)
