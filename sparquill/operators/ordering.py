@@ -39,11 +39,12 @@ def partition_offsets(table: DataFrame, weight: Column | None = None) -> DataFra
     """
     amount = F.count(F.lit(1)) if weight is None else F.sum(weight)
     sizes = sorted((r[0], r[1]) for r in table.groupBy("_part").agg(amount.alias("n")).collect())
-    rows, before = [], 0
+    real = any(isinstance(n, float) for _, n in sizes)
+    rows, before = [], 0.0 if real else 0
     for part, n in sizes:
         rows.append((part, before))
         before += n
-    kind = "double" if isinstance(before, float) else "long"
+    kind = "double" if real else "long"
     return table.sparkSession.createDataFrame(rows, f"_part int, _offset {kind}")
 
 
