@@ -110,4 +110,11 @@ ORACLES = {
     "p3_join": """
         SELECT w.join_width, count(*) AS n_rows FROM plan_execution_log l JOIN workload_item w ON l.query_id = w.id GROUP BY w.join_width""",
     "p4_found": _P4,
+    "p7_found": """
+        WITH t AS (SELECT id, CASE WHEN json_valid(raw_plan) THEN raw_plan::JSON END AS j FROM plan_execution_log),
+        u AS (SELECT id, CASE WHEN json_type(j) = 'VARCHAR' THEN CASE WHEN json_valid(j ->> '$') THEN (j ->> '$')::JSON END ELSE j END AS j FROM t),
+        w AS (SELECT u.id, e.id AS nid, e.fullkey AS path FROM u, json_tree(u.j) e WHERE e.type = 'OBJECT' AND json_exists(e.value, '$."Node Type"')),
+        n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY nid) - 1 AS node_no FROM w)
+        SELECT a.id, a.node_no::INT AS node_no, coalesce(max(b.node_no), -1)::INT AS parent_no
+        FROM n a LEFT JOIN n b ON a.id = b.id AND b.nid < a.nid AND starts_with(a.path, b.path || '.') GROUP BY a.id, a.node_no""",
 }
