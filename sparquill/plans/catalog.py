@@ -131,8 +131,9 @@ def infer_keys(columns: dict[str, dict[str, T.DataType]], known: list[ForeignKey
         target = None
         if c.endswith("_id"):
             stem = c[:-3]
-            fits = [n for n in columns if n in (stem, stem + "s", stem + "es")] or [n for n in columns if n.startswith(stem + "_")]
-            if len(fits) == 1 and (fits[0], "id") in integral:
+            with_id = [n for n in columns if (n, "id") in integral]
+            fits = [n for n in with_id if n in (stem, stem + "s", stem + "es")] or [n for n in with_id if n.startswith(stem + "_")]
+            if len(fits) == 1:
                 target = (fits[0], "id")
         elif "_" in c and len(heads.get(c.split("_", 1)[1], ())) == 1:
             target = heads[c.split("_", 1)[1]][0]
