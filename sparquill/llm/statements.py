@@ -50,6 +50,7 @@ def _flush(clause: str, parts: list[tuple[str, list[str]]], out: list[str]) -> N
     else:
         body = "".join((f" {sep} " if i else "") + piece for i, ((sep, _), piece) in enumerate(zip(parts, pieces, strict=True)))
         out.append(f"{clause} {body}".strip())
+    out[:] = [o for o in out if o]
 
 
 def canonical(text: str) -> str:
@@ -63,6 +64,9 @@ def canonical(text: str) -> str:
     for t in _tokens(text):
         if t in "();":
             depth += (t == "(") - (t == ")")
+            if depth < base:  # the end of a query in parentheses ends its last clause
+                _flush(clause, parts, out)
+                clause, parts, base, between = "", [("", [])], depth, False
             continue
         if t in _CLAUSES:
             if clause or parts[0][1]:
