@@ -142,22 +142,22 @@ class WordTable:
 
     def __init__(self, words: Sequence[str], rules: ScreenRules):
         grams = [subwords(w, rules) for w in words]
-        self.counts = np.array([len(g) for g in grams])
-        self.starts = np.cumsum(self.counts) - self.counts
+        counts = np.array([len(g) for g in grams])
+        self.counts = counts[:, None].astype(np.float32)
+        self.starts = np.cumsum(counts) - counts
         self.flat = np.array([b for g in grams for b in g], np.int64)
-        self.word_of = np.repeat(np.arange(len(grams)), self.counts)
-        self.order = np.argsort(self.flat, kind="stable")
-        ordered = self.flat[self.order]
+        order = np.argsort(self.flat, kind="stable")
+        ordered = self.flat[order]
+        self.word_of = np.repeat(np.arange(len(grams)), counts)[order]
         self.bucket_starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
         self.buckets = ordered[self.bucket_starts]
 
     def vectors(self, table: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(table[self.flat], self.starts, axis=0) / self.counts[:, None]
+        return np.add.reduceat(np.take(table, self.flat, axis=0), self.starts, axis=0) / self.counts
 
     def gradient(self, of_words: np.ndarray, size: int) -> np.ndarray:
-        each = (of_words / self.counts[:, None])[self.word_of[self.order]]
-        out = np.zeros((size, of_words.shape[1]), of_words.dtype)
-        out[self.buckets] = np.add.reduceat(each, self.bucket_starts, axis=0)
+        out = np.zeros((size, of_words.shape[1]), np.float32)
+        out[self.buckets] = np.add.reduceat(np.take(of_words / self.counts, self.word_of, axis=0), self.bucket_starts, axis=0)
         return out
 
 
@@ -195,9 +195,11 @@ def fit(bags: list[list[str]], labels: np.ndarray, importance: np.ndarray, rules
     starts = np.cumsum(held) - held
     size = np.maximum(held, rules.least_words)
     flat = np.array([vocabulary[w] for b in bags for w in b], np.int64)
-    bag_of = np.repeat(np.arange(len(bags)), held)
     order = np.argsort(flat, kind="stable")
+    bag_of = np.repeat(np.arange(len(bags)), held)[order]
     word_starts = np.flatnonzero(np.append(True, flat[order][1:] != flat[order][:-1]))
+    used = flat[order][word_starts]
+    size = size[:, None].astype(np.float32)
     table = rng.uniform(-1, 1, (rules.buckets, rules.dimension)).astype(np.float32) / rules.dimension
     weights = rng.normal(0, 0.5, (rules.dimension, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
@@ -206,16 +208,16 @@ def fit(bags: list[list[str]], labels: np.ndarray, importance: np.ndarray, rules
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (table, weights, bias)]
     for step in range(1, rules.steps + 1):
         vectors = words.vectors(table)
-        mean = np.add.reduceat(vectors[flat], starts, axis=0) / size[:, None].astype(np.float32)
+        mean = np.add.reduceat(np.take(vectors, flat, axis=0), starts, axis=0) / size
         logits = mean @ weights + bias
         logits -= logits.max(axis=1, keepdims=True)
         p = np.exp(logits)
         p /= p.sum(axis=1, keepdims=True)
-        d = (p - wanted) * share[:, None] * len(share) / 100
+        d = (p - wanted) * share[:, None] * np.float32(len(share) / 100)
         g_weights, g_bias = mean.T @ d, d.sum(axis=0)
-        d_mean = (d @ weights.T) / size[:, None].astype(np.float32)
+        d_mean = (d @ weights.T) / size
         g_words = np.zeros_like(vectors)
-        g_words[flat[order][word_starts]] = np.add.reduceat(d_mean[bag_of[order]], word_starts, axis=0)
+        g_words[used] = np.add.reduceat(np.take(d_mean, bag_of, axis=0), word_starts, axis=0)
         grads = (words.gradient(g_words, rules.buckets), g_weights, g_bias)
         for param, grad, (m, v) in zip((table, weights, bias), grads, moments, strict=True):
             m += 0.1 * (grad - m)
