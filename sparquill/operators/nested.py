@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator, Sequence
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -161,13 +162,22 @@ class StructuralIndex:
     def _width(self) -> int:
         return int(self.offsets[-1]) + 2
 
+    @cached_property
+    def _all_keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """Opening quotes of all strings that a colon follows, and the strings' lengths."""
+        at = np.flatnonzero(self.kind[:-2] == _QUOTE) if len(self.kind) > 2 else np.zeros(0, np.int64)
+        at = at[(self.kind[at + 2] == _COLON) & (self.row[at + 2] == self.row[at])]
+        return at, self.pos[at + 1] - self.pos[at] - 1
+
     def keys(self, name: bytes) -> tuple[np.ndarray, np.ndarray]:
         """(token, span) of every string ``name`` that is a key of an object: its opening
         quote's place among the tokens, and the object's among the spans."""
-        n = len(self.kind)
-        at = np.flatnonzero(self.kind[: max(0, n - 2)] == _QUOTE)
-        at = at[(self.pos[at + 1] - self.pos[at] - 1 == len(name)) & (self.kind[at + 2] == _COLON) & (self.row[at + 2] == self.row[at])]
+        at, length = self._all_keys
+        at = at[length == len(name)]
         if len(at):
+            # most other keys of this length differ in the first or the last byte
+            start = self.pos[at] + 1
+            at = at[(self.data[start] == name[0]) & (self.data[start + len(name) - 1] == name[-1])] if name else at
             text = self.data[self.pos[at][:, None] + 1 + np.arange(len(name))]
             at = at[(text == np.frombuffer(name, np.uint8)).all(axis=1)]
         key = (self.row[at] * self._levels + self.depth[at]) * self._width() + self.pos[at]
@@ -198,16 +208,17 @@ class StructuralIndex:
     def values(self, name: bytes, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """[begin, end) of the value of key ``name`` in each of ``spans``; begin is -1 without one.
 
-        Strings come without their quotes, other scalars as written, objects and arrays as -1.
+        Strings come without their quotes, escapes kept; other scalars as written, with the
+        white space around them; objects and arrays as -1.
         """
         begin, end = np.full(len(spans), -1), np.full(len(spans), -1)
         at, span = self.keys(name)
         if not len(at) or not len(spans):
             return begin, end
-        order = np.argsort(spans, kind="stable")
-        i = np.minimum(np.searchsorted(spans[order], span), len(spans) - 1)
-        hit = spans[order][i] == span
-        at, i = at[hit], order[i[hit]]
+        place = np.full(len(self.span_row), -1)
+        place[spans] = np.arange(len(spans))
+        i = place[span]
+        at, i = at[i >= 0], i[i >= 0]
         colon, after = at + 2, np.minimum(at + 3, len(self.kind) - 1)
         string = self.kind[after] == _QUOTE
         scalar = (self.kind[after] == _COMMA) | (self.kind[after] == _CLOSE_OBJECT)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sparquill.operators.nested import flatten_nodes
 from sparquill.plans import actions, catalog, extract, features, spj
 from sparquill.plans.workload import join_queries
-from sparquill.sources.tables import table
+from sparquill.sources.tables import table, widened
 
 TPCH = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 _ATTRIBUTES = ("Node Type", "Relation Name", "Join Type", "Plan Rows", "Plan Width", "Total Cost", "Startup Cost", "Actual Rows", "Rows Removed by Filter")
@@ -18,7 +18,7 @@ _ATTRIBUTES = ("Node Type", "Relation Name", "Join Type", "Plan Rows", "Plan Wid
 
 def logged_nodes(log: DataFrame) -> DataFrame:
     """The plan nodes of an execution log, typed."""
-    raw = flatten_nodes(log, "id", "raw_plan", "Node Type", _ATTRIBUTES)
+    raw = flatten_nodes(widened(log.select("id", "raw_plan")), "id", "raw_plan", "Node Type", _ATTRIBUTES)
     value = {a: F.col(f"attr_{i}") for i, a in enumerate(_ATTRIBUTES)}
     number = {a: value[a].try_cast("double") for a in _ATTRIBUTES[3:]}
     return raw.select(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparquill.operators.anomalies import implausible_readings
 from sparquill.operators.balance import balanced_aggregate, balanced_join, plan_loads
 from sparquill.operators.nested import flatten_nodes
-from sparquill.sources.tables import table
+from sparquill.sources.tables import table, widened
 
 LOG = "plan_execution_log"
 TIMES = ("actual_total_time_ms", "planning_time_ms")
@@ -56,12 +56,12 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every plan node of every log row, linked to its parent."""
-    return flatten_nodes(table(spark, folder, LOG), "id", "raw_plan", "Node Type").select("id", "node_no", "parent_no")
+    return flatten_nodes(widened(table(spark, folder, LOG).select("id", "raw_plan")), "id", "raw_plan", "Node Type").select("id", "node_no", "parent_no")
 
 
 def p7_nodes(spark: SparkSession, folder: str) -> DataFrame:
     """Plan nodes with their scalars as typed columns."""
-    nodes = flatten_nodes(table(spark, folder, LOG), "id", "raw_plan", "Node Type", NODE_ATTRIBUTES)
+    nodes = flatten_nodes(widened(table(spark, folder, LOG).select("id", "raw_plan")), "id", "raw_plan", "Node Type", NODE_ATTRIBUTES)
     kinds = ("string", "string", "string", "string", "double", "double", "double", "double")
     named = [F.col(f"attr_{i}").try_cast(k).alias(a.lower().replace(" ", "_")) for i, (a, k) in enumerate(zip(NODE_ATTRIBUTES, kinds, strict=True))]
     return nodes.select("id", "node_no", "parent_no", "depth", *named)
