@@ -12,7 +12,7 @@ from sparquill.llm.percentiles import daily_runs, join_runs, percentiles
 from sparquill.llm.rankings import top_items
 from sparquill.llm.screening import ScreenRules, training_documents, score_documents, source_rates, train
 from sparquill.llm.splits import query_links, related_pairs, spanning_forest, split_rows
-from sparquill.sources.tables import table
+from sparquill.sources.tables import table, widened
 from sparquill.storage import materialize
 
 LOG = "plan_execution_log"
@@ -81,12 +81,12 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold a passage of an eval_item, with the item."""
-    return leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_item"), "doc_id", "text", "item_id", "text").select("doc_id", "item_id")
+    return leaked_items(widened(table(spark, folder, "documents").select("doc_id", "text")), table(spark, folder, "eval_item"), "doc_id", "text", "item_id", "text").select("doc_id", "item_id")
 
 
 def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
     """The mixed sequence of documents."""
-    return mix(table(spark, folder, "documents"), table(spark, folder, "mix_target"))
+    return mix(widened(table(spark, folder, "documents").select("doc_id", "source", "text")), table(spark, folder, "mix_target"))
 
 
 def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
@@ -98,7 +98,7 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
 def _scores(spark: SparkSession, folder: str, rules: ScreenRules) -> DataFrame:
     docs = table(spark, folder, "documents")
     screen = train(training_documents(docs, table(spark, folder, "doc_review"), rules), rules)
-    return score_documents(docs, screen)
+    return score_documents(widened(docs.select("doc_id", "source", "text")), screen)
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -55,11 +55,11 @@ def top_items(df: DataFrame, groups: Sequence[str], order: Sequence[Column], n:
     """``df``'s first ``n`` rows of every group by ``order``, with ``rank_no`` from 1.
 
     End ``order`` with unique columns; rows equal in all of ``order`` are ranked in any order.
-    Null group keys form a group; an empty table and n < 1 give no rows. ``rank_no`` and
-    ``__o<i>`` must not be columns of ``df``.
+    Null group keys form a group; an empty table and n < 1 give no rows. A column ``rank_no``
+    of ``df`` is replaced.
     """
+    df = df.drop("rank_no")
     keys = [f"__g{i}" for i in range(len(groups))]
-    marks = [f"__o{i}" for i in range(len(order))]
     placed = df.select(*[F.col(g).alias(k) for g, k in zip(groups, keys, strict=True)], "*")
     schema = placed.withColumn("rank_no", F.lit(0)).schema
     step = _keeper(len(keys), n)
@@ -67,4 +67,4 @@ def top_items(df: DataFrame, groups: Sequence[str], order: Sequence[Column], n:
     local = placed.sortWithinPartitions(*by).mapInArrow(step, schema)
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     final = local.repartition(parts, *keys).sortWithinPartitions(*by).mapInArrow(step, schema)
-    return final.drop(*keys, *marks)
+    return final.drop(*keys)

@@ -69,6 +69,12 @@ def test_groups_across_arrow_batches(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
+def test_a_rank_column_is_replaced(spark):
+    df = spark.createDataFrame([("a", 7, "x"), ("a", 8, "y")], "g string, rank_no int, id string")
+    got = top_items(df, ["g"], [F.col("id").desc()], 1)
+    assert [tuple(r) for r in got.collect()] == [("a", "y", 1)] and got.columns == ["g", "id", "rank_no"]
+
+
 def test_top_of_nothing(spark):
     df = spark.createDataFrame([("a", 1)], "g string, id int")
     assert top_items(df.limit(0), ["g"], [F.col("id").asc()], 3).count() == 0
