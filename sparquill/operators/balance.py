@@ -139,13 +139,13 @@ def balanced_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: s
     """Equi-join on ``keys`` (same names on both sides) with ``left``'s hot keys split.
 
     ``right``'s rows of a split key are replicated to that key's shards only. ``how`` is
-    inner or left. Null keys match nothing. Other columns that both sides have must be
-    renamed first; ``ValueError`` says so.
+    inner or left. Null keys match nothing. A column of ``right`` whose name ``left`` has too
+    gets the suffix ``_right``.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be inner or left")
-    if clash := (set(left.columns) & set(right.columns)) - set(keys):
-        raise ValueError(f"rename the columns both sides have: {sorted(clash)}")
+    for name in (set(left.columns) & set(right.columns)) - set(keys):
+        right = right.withColumnRenamed(name, f"{name}_right")
     plan = plan or plan_loads(left, keys)
     placed = spread(left, keys, plan)
     copies = (

@@ -7,7 +7,7 @@ from sparquill.functions.keys import query_key
 from sparquill.operators.log_analytics import average_ranks, running_totals
 from sparquill.operators.ordering import ordered_table, with_position
 from sparquill.sources.files import ecommerce, query_files, read_csv
-from sparquill.storage import materialize, scratch_root
+from sparquill.storage import drop_scratch, materialize, scratch_root
 from sparquill.streaming.log_stream import read_stream, retrain_on_arrival, windowed
 
 LOG = "id long, query_id string, sql_text string, selector_used string, actual_total_time_ms double, created_at timestamp"
@@ -62,6 +62,10 @@ def test_scratch(spark):
     assert root and root == scratch_root(spark)
     df = materialize(spark.createDataFrame([], "a int, b string"), "empty")
     assert df.count() == 0 and df.columns == ["a", "b"]
+    drop_scratch(spark)
+    with pytest.raises(Exception, match="NOT_EXIST|not exist"):
+        spark.read.parquet(*df.inputFiles() or ["file:/nowhere"]).count()
+    drop_scratch(spark)
 
 
 def log(spark, tmp_path):
