@@ -150,12 +150,12 @@ def assign_splits(sizes: DataFrame, shares: Sequence[tuple[str, float]]) -> Data
 
 
 def split_rows(log: DataFrame, shares: Sequence[tuple[str, float]]) -> DataFrame:
-    """(id, root, split) of every log row.
+    """(id, root, split) of every log row, as often as it occurs.
 
     A row without query_id goes with the least query_id under which its statement was logged,
     else with the rows of its statement, else (no statement either) by itself.
     """
-    records = canonical_records(log, "id", "sql_text").select("id", "key")
+    records = canonical_records(log, "id", "sql_text").groupBy("id").agg(F.min("key").alias("key"))
     rows = log.select("id", "query_id").join(records, "id", "left")
     named = rows.where(F.col("query_id").isNotNull()).groupBy("key").agg(F.min("query_id").alias("known"))
     nameless = rows.where(F.col("query_id").isNull()).join(named, "key", "left")

@@ -75,7 +75,9 @@ def test_chains_and_nulls(spark):
 
 
 def test_rows_of_one_query_stay_together(spark):
-    got = {r["id"]: (r["root"], r["split"]) for r in split_rows(rows(spark), SHARES).collect()}
+    out = split_rows(rows(spark), SHARES).collect()
+    got = {r["id"]: (r["root"], r["split"]) for r in out}
+    assert len(out) == 11
     assert set(got) == set(range(1, 11))
     assert len({got[i] for i in (1, 2, 3)}) == 1 and got[4] == got[5] and got[6] == got[7]
     assert len({got[i][0] for i in (1, 4, 6, 8, 9, 10)}) == 6
