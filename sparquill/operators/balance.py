@@ -1,8 +1,8 @@
 """Per-key results when a few keys hold most rows.
 
-Loads are estimated from one counting pass; keys are bin-packed to tasks, keys that would
-overfill a task are split into proportionate shards, and the matching side of a join is
-replicated to exactly those shards.
+Loads are estimated from a sample; keys are bin-packed to tasks, keys that would overfill a task
+are split into proportionate shards, and the matching side of a join is replicated to exactly
+those shards. The estimate only places rows: every row takes part in the result.
 """
 
 from __future__ import annotations
@@ -19,6 +19,11 @@ from pyspark.sql import functions as F
 BINS_PER_TASK = 16
 #: A key is heavy from this part of a task's fair share on.
 HEAVY_PART = 0.25
+#: Sampled rows per task that loads are estimated from (a heavy key has 500 of them on average);
+#: a table with fewer is counted whole.
+SAMPLED_PER_TASK = 2000
+#: Rows up to which a looked-up table is broadcast.
+BROADCAST_ROWS = 200_000
 
 _BIN, _SHARD, _TASK, _OWN = "__bin", "__shard", "__task", "__own_task"
 
@@ -32,7 +37,7 @@ class LoadPlan:
     """
 
     tasks: int
-    heavy: tuple[tuple[tuple, int, tuple[int, ...]], ...]
+    heavy: tuple[tuple[tuple, float, tuple[int, ...]], ...]
     bins: tuple[int, ...]
     loads: tuple[float, ...]
 
@@ -53,15 +58,16 @@ def _bin(keys: Sequence[str | Column], tasks: int) -> Column:
 
 
 def plan_loads(df: DataFrame, keys: Sequence[str], tasks: int | None = None) -> LoadPlan:
-    """Count the keys of ``df`` (combined before the shuffle) and pack them to ``tasks``.
+    """Estimate the loads of the keys of ``df`` and pack them to ``tasks``.
 
     Null is a key like any other; for an empty table every bin gets a task and no key is heavy.
     """
     tasks = tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     total = df.count()
-    heavy_from = max(2.0, total / tasks * HEAVY_PART)
-    per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    is_heavy = F.col("__n") >= heavy_from
+    part = min(1.0, SAMPLED_PER_TASK * tasks / max(1, total))
+    seen = df.select(*keys) if part == 1.0 else df.select(*keys).sample(part, seed=17)
+    per_key = seen.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    is_heavy = F.col("__n") >= max(2.0, total * part / tasks * HEAVY_PART)
     rows = (
         per_key.withColumn(_BIN, _bin(keys, tasks))
         .groupBy(_BIN)
@@ -72,10 +78,10 @@ def plan_loads(df: DataFrame, keys: Sequence[str], tasks: int | None = None) ->
         .collect()
     )
     light = [0.0] * (tasks * BINS_PER_TASK)
-    heavy: list[tuple[tuple, int]] = []
+    heavy: list[tuple[tuple, float]] = []
     for r in rows:
-        light[r[_BIN]] = float(r["light"] or 0)
-        heavy += [(tuple(h[:-1]), h[-1]) for h in r["heavy"]]
+        light[r[_BIN]] = (r["light"] or 0) / part
+        heavy += [(tuple(h[:-1]), h[-1] / part) for h in r["heavy"]]
     heavy.sort(key=lambda h: (-h[1], repr(h[0])))
     share = max(1.0, total / tasks)
     shards = [min(tasks, max(1, math.ceil(n / (share * HEAVY_PART)))) if n > share * HEAVY_PART else 1 for _, n in heavy]
@@ -135,18 +141,25 @@ def balanced_aggregate(df: DataFrame, keys: Sequence[str], partial: Mapping[str,
     return shards.groupBy(*keys).agg(*[c.alias(k) for k, c in final.items()])
 
 
+def _apart(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    for name in (set(left.columns) & set(right.columns)) - set(keys):
+        right = right.withColumnRenamed(name, f"{name}_right")
+    return right
+
+
 def balanced_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", plan: LoadPlan | None = None) -> DataFrame:
     """Equi-join on ``keys`` (same names on both sides) with ``left``'s hot keys split.
 
-    ``right``'s rows of a split key are replicated to that key's shards only. ``how`` is
-    inner or left. Null keys match nothing. A column of ``right`` whose name ``left`` has too
-    gets the suffix ``_right``.
+    ``right``'s rows of a split key are replicated to that key's shards only; without a heavy
+    key the plain join is even. ``how`` is inner or left. Null keys match nothing. A column of
+    ``right`` whose name ``left`` has too gets the suffix ``_right``.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be inner or left")
-    for name in (set(left.columns) & set(right.columns)) - set(keys):
-        right = right.withColumnRenamed(name, f"{name}_right")
+    right = _apart(left, right, keys)
     plan = plan or plan_loads(left, keys)
+    if not plan.heavy:
+        return left.join(right, list(keys), how)
     placed = spread(left, keys, plan)
     copies = (
         _with_tasks(right, keys, plan)
@@ -157,6 +170,18 @@ def balanced_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: s
     return placed.join(copies, [_TASK, *keys], how).drop(_TASK)
 
 
+def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """``balanced_join``, but with ``right`` broadcast while it has at most ``BROADCAST_ROWS`` rows.
+
+    Both sides are scans or written tables, as they are read to be counted.
+    """
+    if how not in ("inner", "left"):
+        raise ValueError("how must be inner or left")
+    if right.count() <= BROADCAST_ROWS:
+        return left.join(F.broadcast(_apart(left, right, keys)), list(keys), how)
+    return balanced_join(left, right, keys, how)
+
+
 def task_shares(plan: LoadPlan) -> list[Row]:
     """Planned rows of each task, for reports."""
     return [Row(task=t, rows=x) for t, x in enumerate(plan.loads)]

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparquill.operators.anomalies import implausible_readings
-from sparquill.operators.balance import balanced_aggregate, balanced_join, plan_loads
+from sparquill.operators.anomalies import implausible_readings, reading_states, state_agreement
+from sparquill.operators.balance import balanced_aggregate, balanced_join
 from sparquill.operators.nested import flatten_nodes
 from sparquill.sources.tables import table, widened
 
@@ -21,13 +21,10 @@ NODE_ATTRIBUTES = ("Node Type", "Relation Name", "Alias", "Join Type", "Plan Row
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Values of query_id and selector_used that are in at least 2 % of all log rows."""
     log = table(spark, folder, LOG)
-    total = log.count()
-    parts = []
-    for field in ("query_id", "selector_used"):
-        counts = balanced_aggregate(log.select(field), [field], {"n": F.count(F.lit(1))}, {"n": F.sum("n")})
-        hot = counts.where(F.col(field).isNotNull() & (F.col("n") * 100 >= HOT_PERCENT * total))
-        parts.append(hot.select(F.lit(field).alias("field_name"), F.col(field).alias("key_value")))
-    return parts[0].unionByName(parts[1])
+    each = F.inline(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("key_value")) for f in ("query_id", "selector_used")]))
+    keys = ["field_name", "key_value"]
+    counts = balanced_aggregate(log.select(each), keys, {"n": F.count(F.lit(1))}, {"n": F.sum("n")})
+    return counts.where(F.col("key_value").isNotNull() & (F.col("n") * 100 >= HOT_PERCENT * log.count())).select(*keys)
 
 
 def p3_profile(spark: SparkSession, folder: str) -> DataFrame:
@@ -45,7 +42,7 @@ def p3_join(spark: SparkSession, folder: str) -> DataFrame:
     """Log rows per join width of their workload item, hot query_ids split over tasks."""
     log = table(spark, folder, LOG).select("query_id", "id")
     items = table(spark, folder, "workload_item").select(F.col("id").alias("query_id"), "join_width")
-    joined = balanced_join(log, items, ["query_id"], "inner", plan_loads(log, ["query_id"]))
+    joined = balanced_join(log, items, ["query_id"])
     return joined.groupBy("join_width").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
@@ -54,6 +51,11 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return implausible_readings(table(spark, folder, LOG), "id", "query_id", "created_at", TIMES).select("id", "field_name")
 
 
+def p4_agreement(spark: SparkSession, folder: str) -> DataFrame:
+    """How many readings the model and plain rules flag, and both."""
+    return state_agreement(reading_states(table(spark, folder, LOG), "id", "query_id", "created_at", TIMES))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every plan node of every log row, linked to its parent."""
     return flatten_nodes(widened(table(spark, folder, LOG).select("id", "raw_plan")), "id", "raw_plan", "Node Type").select("id", "node_no", "parent_no")
@@ -67,7 +69,7 @@ def p7_nodes(spark: SparkSession, folder: str) -> DataFrame:
     return nodes.select("id", "node_no", "parent_no", "depth", *named)
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_profile, p3_join, p4_found, p7_found, p7_nodes)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_profile, p3_join, p4_found, p4_agreement, p7_found, p7_nodes)}
 
 _P4 = """
 WITH r AS (

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from sparquill.operators.anomalies import NORMAL, SPIKE, STUCK, AnomalyRules, _emissions, forward_backward, implausible_readings, posteriors, reading_states
+from sparquill.operators.anomalies import _MOVES, NORMAL, SPIKE, STUCK, AnomalyRules, _emissions, forward_backward, implausible_readings, posteriors, reading_states, state_agreement
 
 SCHEMA = "id long, q string, t timestamp, v double, w double, field string, run int"
 START = dt.datetime(2024, 1, 1)
@@ -88,18 +88,21 @@ def test_states_are_probabilities(spark):
 
 
 def test_forward_backward_against_enumeration():
-    from sparquill.operators.anomalies import _MOVES, _START
-
     rng = np.random.default_rng(1)
-    e = rng.normal(size=(1, 4, 4))
-    total = np.zeros((4, 4))
+    e, moves = rng.normal(size=(1, 4, 4)), rng.random((1, 4, 4))
+    moves /= moves.sum(axis=2, keepdims=True)
+    total, seen = np.zeros((4, 4)), np.zeros((4, 4))
     for path in np.ndindex(4, 4, 4, 4):
-        p = _START[path[0]] * np.exp(e[0, 0, path[0]])
+        p = moves[0, NORMAL, path[0]] * np.exp(e[0, 0, path[0]])
         for t in range(1, 4):
-            p *= _MOVES[path[t - 1], path[t]] * np.exp(e[0, t, path[t]])
+            p *= moves[0, path[t - 1], path[t]] * np.exp(e[0, t, path[t]])
         for t in range(4):
             total[t, path[t]] += p
-    assert np.allclose(forward_backward(e, np.ones((1, 4), bool))[0], total / total.sum(axis=1, keepdims=True))
+        for t in range(1, 4):
+            seen[path[t - 1], path[t]] += p
+    p, expected = forward_backward(e, np.ones((1, 4), bool), moves)
+    assert np.allclose(p[0], total / total.sum(axis=1, keepdims=True))
+    assert np.allclose(expected[0], seen / total[0].sum())
 
 
 def test_windows_agree_with_one_pass():
@@ -108,12 +111,29 @@ def test_windows_agree_with_one_pass():
     v = np.exp(rng.normal(size=200) * 0.2)
     v[50] = 100
     one = np.ones(200)
-    e = _emissions(v, np.zeros(200, bool), np.ones(200), one * 0.5, one * 2, rules)
-    whole = forward_backward(e[None], np.ones((1, 200), bool))[0]
-    assert np.abs(posteriors(e, np.array([0, 200]), rules) - whole).max() < 0.05
+    e = _emissions({"value": v, "bad": np.zeros(200, bool), "run": one, "n_readings": one * 200, "lo": one * 0.5, "hi": one * 2, "center": one * 0, "width": one * 0.2}, rules)
+    moves = _MOVES[None]
+    whole = forward_backward(e[None], np.ones((1, 200), bool), moves)[0][0]
+    assert np.abs(posteriors(e, np.array([0, 200]), moves, rules)[0] - whole).max() < 0.05
     assert whole[50, SPIKE] > 0.9 and whole[10, NORMAL] > 0.9 and whole[10, STUCK] < 0.1
 
 
+def test_repeated_impossible_values_are_out_of_range(spark):
+    df = spark.createDataFrame(rows_of([5.0, 5.1, *[-1.0] * 7, 5.2]), SCHEMA)
+    assert {r["reason"] for r in implausible_readings(df, "id", "q", "t", ["v"]).collect()} == {"out_of_range"}
+
+
+def test_sources_have_models_of_their_own(spark):
+    rng = random.Random(3)
+    calm = [rng.lognormvariate(2, 0.1) for _ in range(400)]
+    wild = [x * 100 if i % 4 == 0 else x for i, x in enumerate(calm)]
+    df = spark.createDataFrame(rows_of(calm, "calm") + rows_of(wild, "wild", 1000), SCHEMA)
+    assert {r["id"] for r in implausible_readings(df, "id", "q", "t", ["v"]).collect()} == set(range(1000, 1400, 4))
+    states = reading_states(df, "id", "q", "t", ["v"])
+    got = {r["state"]: (r["n_model"], r["n_rule"], r["n_both"]) for r in state_agreement(states).collect()}
+    assert got == {"normal": (700, 700, 700), "spike": (100, 100, 100)}
+
+
 @pytest.mark.parametrize("value,case", [(3.0, True), (2.99, False), (1 / 3 - 1e-9, True), (0.34, False)])
 def test_spike_boundary(spark, value, case):
     assert (20 in found(spark, rows_of([1.0, *[1.0 - 1e-12 * i for i in range(1, 19)], value]))) is case

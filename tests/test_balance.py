@@ -3,7 +3,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from sparquill.operators.balance import balanced_aggregate, balanced_join, pack, plan_loads, spread
+from sparquill.operators import balance
+from sparquill.operators.balance import balanced_aggregate, balanced_join, lookup, pack, plan_loads, spread
 
 
 def counts(df, keys):
@@ -50,5 +51,26 @@ def test_join_of_clashing_names(spark):
     df = spark.createDataFrame([("a", 1), ("a", 2)], "key string, v int")
     got = balanced_join(df, df, ["key"])
     assert sorted(got.columns) == ["key", "v", "v_right"] and got.count() == 4
-    with pytest.raises(ValueError):
-        balanced_join(df, df.select("key"), ["key"], "full")
+    assert sorted(lookup(df, df, ["key"]).columns) == ["key", "v", "v_right"]
+    for join in (balanced_join, lookup):
+        with pytest.raises(ValueError):
+            join(df, df.select("key"), ["key"], "full")
+
+
+def test_loads_are_estimated_from_a_sample(spark, monkeypatch):
+    monkeypatch.setattr(balance, "SAMPLED_PER_TASK", 250)
+    df = spark.range(40_000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 500).cast("string"))).alias("key"), "id")
+    plan = plan_loads(df, ["key"], 4)
+    assert plan.heavy[0][0] == ("hot",) and abs(plan.heavy[0][1] - 13_334) < 2500
+    assert counts(df, ["key"]).agg(F.sum("n")).first()[0] == 40_000
+    sizes = [r[1] for r in spread(df, ["key"], plan).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 40_000 and max(sizes) < 1.3 * 10_000
+
+
+@pytest.mark.parametrize("limit", [0, 100])
+def test_lookup_by_broadcast_and_by_shards(spark, monkeypatch, limit):
+    monkeypatch.setattr(balance, "BROADCAST_ROWS", limit)
+    left = spark.range(900).select(F.when(F.col("id") % 2 == 0, "hot").when(F.col("id") % 50 == 1, None).otherwise((F.col("id") % 40).cast("string")).alias("key"), "id")
+    right = spark.createDataFrame([("hot", 1), ("3", 3), (None, 4)], "key string, r int")
+    for how in ("inner", "left"):
+        assert lookup(left, right, ["key"], how).count() == left.join(right, "key", how).count()
