@@ -58,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "log_ratio_targets": _on_log(A.log_ratio_targets),
     "noise_spread": _on_log(A.noise_spread),
     "noise_floor": _on_log(A.noise_floor),
+    "noise_floor_warm": _on_log(lambda log: A.noise_floor(log, warm=True)),
     "hourly_readings": _on_log(windowed),
     "calibration_sweep": _on_log(lambda log: A.gate_sweep(_scored(log), _ZS, _GAINS)),
 }
@@ -144,6 +145,9 @@ ORACLES = {
         SELECT l.query_id, l.hint, l.median_ms, round(CASE WHEN n.native_ms > 0 THEN ln(l.median_ms / n.native_ms) ELSE 0.0 END, 6) AS target FROM l LEFT JOIN n ON l.query_id = n.query_id""",
     "noise_spread": f"{_SPREAD} SELECT * FROM sp",
     "noise_floor": f"{_SPREAD} SELECT count(*) AS n_groups, round(median(spread), 6) AS recommended_floor, max(spread) AS max_spread FROM sp",
+    "noise_floor_warm": f"""{_NAMED}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id, hint ORDER BY created_at, id) AS nth, count(*) OVER (PARTITION BY query_id, hint) AS c FROM t),
+        sp AS (SELECT round((max(ms) - min(ms)) / median(ms), 6) AS spread FROM k WHERE NOT (nth = 1 AND c > 3) GROUP BY query_id, hint HAVING count(*) >= 3)
+        SELECT count(*) AS n_groups, round(median(spread), 6) AS recommended_floor, max(spread) AS max_spread FROM sp""",
     "hourly_readings": f"""WITH {_READINGS} SELECT date_trunc('hour', created_at) AS window_start, selector, count(*) AS n, round(avg(ms), 6) AS mean_ms, min(ms) AS min_ms, max(ms) AS max_ms FROM v GROUP BY 1, 2""",
     "calibration_sweep": f"""{_RUNS}, s AS (SELECT native_ms, served_ms AS pick, exp(ln(best_ms / native_ms) + z * 0.25) < 1 - gain AS goes, z, gain
         FROM runs, (SELECT unnest({list(_ZS)})::DOUBLE AS z), (SELECT unnest({list(_GAINS)})::DOUBLE AS gain) WHERE deviated)

@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparquill.functions.keys import DISABLED_COST, is_duration, query_key, selector
+from sparquill.operators.balance import lookup
 from sparquill.operators.ordering import ordered_table, partition_offsets
+from sparquill.operators.quantiles import group_percentiles, value_counts
 from sparquill.storage import materialize
 
 COLLECTION = "collection"
@@ -167,14 +169,14 @@ def cumulative_totals(runs: DataFrame) -> DataFrame:
 
 
 def average_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
-    """``df`` with the rank of ``column``, ties averaged.
+    """``df`` (a written table) with the rank of ``column``, ties averaged; nulls have no rank and go.
 
     Values are counted before they are sorted; a value's ranks follow from the counts before it.
     """
     counts = materialize(df.groupBy(column).agg(F.count(F.lit(1)).alias("n")), "counts")
     line = running_totals(counts, [column], {"_upto": "n"})
     ranks = line.select(F.col(column).alias("_value"), (F.col("_upto") - F.col("n") / 2 + 0.5).alias(name))
-    return df.join(ranks, F.col(column).eqNullSafe(F.col("_value"))).drop("_value")
+    return lookup(df, materialize(ranks.withColumnRenamed("_value", column), "ranks"), [column])
 
 
 def cost_points(log: DataFrame, limit: int | None = None) -> DataFrame:
@@ -189,7 +191,7 @@ def cost_points(log: DataFrame, limit: int | None = None) -> DataFrame:
 def cost_rank_correlation(points: DataFrame) -> DataFrame:
     """Spearman's rank correlation of cost and time; null below three points or without variance."""
     base = materialize(points.select("total_cost", "latency_ms"), "points")
-    ranked = average_ranks(average_ranks(base, "total_cost", "rx"), "latency_ms", "ry")
+    ranked = average_ranks(materialize(average_ranks(base, "total_cost", "rx"), "ranked"), "latency_ms", "ry")
     ok = (F.count(F.lit(1)) >= 3) & (F.stddev_pop("rx") > 0) & (F.stddev_pop("ry") > 0)
     return ranked.agg(F.count(F.lit(1)).alias("n_points"), F.round(F.when(ok, F.corr("rx", "ry")), 6).alias("rank_correlation"))
 
@@ -226,28 +228,55 @@ def pending_rows(log: DataFrame, since) -> DataFrame:
     return (rows if since is None else rows.where(F.col("created_at") > F.lit(since))).agg(F.count(F.lit(1)).alias("n_pending"))
 
 
+def _medians(named: DataFrame) -> DataFrame:
+    """(query_id, hint, n, p0): the median time of each; a hot pair is sorted over many tasks."""
+    return group_percentiles(value_counts(named, ["query_id", "hint"], F.col("ms")), ["query_id", "hint"], [0.5])
+
+
 def median_labels(log: DataFrame) -> DataFrame:
     """Median time and repetitions of each named query and hint; no hint is a hint of its own."""
-    return trainable(log).groupBy("query_id", "hint").agg(F.round(F.median("ms"), 6).alias("median_ms"), F.count(F.lit(1)).alias("n_reps"), F.bool_or("is_baseline").alias("is_baseline"))
+    named = trainable(log)
+    base = named.groupBy("query_id", "hint").agg(F.bool_or("is_baseline").alias("is_baseline")).withColumnsRenamed({"query_id": "_q", "hint": "_h"})
+    both = _medians(named).join(base, F.col("query_id").eqNullSafe(F.col("_q")) & F.col("hint").eqNullSafe(F.col("_h")))
+    return both.select("query_id", "hint", F.round("p0", 6).alias("median_ms"), F.col("n").alias("n_reps"), "is_baseline")
 
 
 def log_ratio_targets(log: DataFrame) -> DataFrame:
-    """ln(median time / the query's native median); 0 where there is no native time."""
-    labels = median_labels(log)
+    """ln(median time / the query's native median); 0 where there is no native time.
+
+    Of several baseline hints of a query, the one without a hint counts, else the first by name.
+    """
+    labels = materialize(median_labels(log), "labels")
     native = labels.where(F.col("is_baseline")).groupBy("query_id").agg(F.min_by("median_ms", F.struct(F.col("hint").isNotNull(), "hint")).alias("native_ms"))
     target = F.when(F.col("native_ms") > 0, F.log(F.col("median_ms") / F.col("native_ms"))).otherwise(0.0)
     return labels.join(native, "query_id", "left").select("query_id", "hint", "median_ms", F.round(target, 6).alias("target"))
 
 
-def noise_spread(log: DataFrame, min_reps: int = 3) -> DataFrame:
-    """Spread of repeated readings, (max - min) / median, per named query and hint with enough."""
-    g = trainable(log).groupBy("query_id", "hint").agg(F.count(F.lit(1)).alias("n_reps"), ((F.max("ms") - F.min("ms")) / F.median("ms")).alias("spread"))
-    return g.where(F.col("n_reps") >= min_reps).select("query_id", "hint", "n_reps", F.round("spread", 6).alias("spread"))
-
+def noise_spread(log: DataFrame, min_reps: int = 3, warm: bool = False) -> DataFrame:
+    """Spread of repeated readings, (max - min) / median, per named query and hint with enough.
 
-def noise_floor(log: DataFrame, min_reps: int = 3) -> DataFrame:
-    """The median spread: differences below it are no findings."""
-    return noise_spread(log, min_reps).agg(F.count(F.lit(1)).alias("n_groups"), F.round(F.median("spread"), 6).alias("recommended_floor"), F.max("spread").alias("max_spread"))
+    ``warm`` leaves out the first reading (by time, then id) of those with more than ``min_reps``.
+    """
+    named = trainable(log)
+    if warm:
+        keys = ["query_id", "hint"]
+        named = materialize(named.select(*keys, "ms", "id", "created_at"), "named")
+        first = named.groupBy(*keys).agg(F.min(F.struct("created_at", "id")).alias("f"), F.count(F.lit(1)).alias("k")).where(F.col("k") > min_reps)
+        cold = materialize(first.select(F.col("query_id").alias("_q"), F.col("hint").alias("_h"), F.col("f.id").alias("_id"), F.col("f.created_at").alias("_at")), "cold")
+        same = (F.col("id") == F.col("_id")) & (F.col("created_at").eqNullSafe(F.col("_at"))) & F.col("query_id").eqNullSafe(F.col("_q")) & F.col("hint").eqNullSafe(F.col("_h"))
+        named = named.join(cold, same, "left_anti")
+    ends = named.groupBy("query_id", "hint").agg(F.min("ms").alias("least"), F.max("ms").alias("most")).withColumnsRenamed({"query_id": "_q", "hint": "_h"})
+    both = _medians(named).where(F.col("n") >= min_reps).join(ends, F.col("query_id").eqNullSafe(F.col("_q")) & F.col("hint").eqNullSafe(F.col("_h")))
+    return both.select("query_id", "hint", F.col("n").alias("n_reps"), F.round((F.col("most") - F.col("least")) / F.col("p0"), 6).alias("spread"))
+
+
+def noise_floor(log: DataFrame, min_reps: int = 3, warm: bool = False) -> DataFrame:
+    """The median spread: differences below it are no findings. One row; nulls without groups."""
+    spreads = materialize(noise_spread(log, min_reps, warm), "spreads")
+    middle = group_percentiles(value_counts(spreads, [], F.col("spread")), [], [0.5]).select(F.col("n"), F.col("p0"))
+    none = F.lit(None).cast("double")
+    both = middle.select("n", "p0", none.alias("most")).unionAll(spreads.agg(F.lit(0).cast("long"), none, F.max("spread")))
+    return both.agg(F.max("n").alias("n_groups"), F.round(F.max("p0"), 6).alias("recommended_floor"), F.max("most").alias("max_spread"))
 
 
 def gate_sweep(scored: DataFrame, zs: Sequence[float], gains: Sequence[float]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparquill.operators.nested import flatten_nodes
+from sparquill.operators.quantiles import group_percentiles, value_counts
 from sparquill.plans import actions, catalog, extract, features, spj
 from sparquill.plans.workload import join_queries
 from sparquill.sources.tables import table, widened
@@ -69,8 +70,8 @@ def _orphans(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _percentiles(spark: SparkSession, folder: str) -> DataFrame:
-    part = table(spark, folder, "part")
-    return part.selectExpr("percentile_disc(0.25) WITHIN GROUP (ORDER BY p_retailprice) AS p25", "percentile_disc(0.75) WITHIN GROUP (ORDER BY p_retailprice) AS p75")
+    counts = value_counts(table(spark, folder, "part"), [], F.col("p_retailprice"))
+    return group_percentiles(counts, [], [0.25, 0.75], discrete=True).select(F.col("p0").alias("p25"), F.col("p1").alias("p75"))
 
 
 def _samples(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,7 +7,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from sparquill.operators.quantiles import group_percentiles, value_counts
 from sparquill.plans.catalog import NUMERIC, TEMPORAL, TEXT, SchemaGraph
 
 
@@ -60,9 +62,10 @@ def predicate(spark: SparkSession, full: str, alias: str, column: str, kind, rng
         values = [r[0] for r in frame.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).limit(5).collect()]
         return f"{alias}.{column} = '{rng.choice(values).replace(chr(39), chr(39) * 2)}'" if values else None
     if isinstance(kind, NUMERIC):
-        q = frame.selectExpr(*[f"percentile_disc({p}) WITHIN GROUP (ORDER BY {column})" for p in (0.25, 0.75)]).first()
-        if q[0] is None:
+        found = group_percentiles(value_counts(frame, [], F.col(column)), [], [0.25, 0.75], discrete=True).select("p0", "p1").first()
+        if found is None:
             return None
+        q = [int(v) if isinstance(kind, T.IntegralType) else v for v in found]
         if q[0] == q[1]:
             return f"{alias}.{column} = {q[0]}"
         return f"{alias}.{column} > {q[0]}" if rng.random() < 0.5 else f"{alias}.{column} < {q[1]}"
