@@ -15,13 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparquill.llm.statements import canonical_array, digests, first_places
-from sparquill.operators.balance import balanced_join
+from sparquill.operators.balance import balanced_join, lookup
 from sparquill.storage import materialize
 
 
 @dataclass(frozen=True)
 class RadixRules:
-    """``bucket_records``: partial counts that one trie may hold; ``step``: bytes per level."""
+    """``bucket_records``: partial counts that one trie may hold; ``step``: bytes a level adds to
+    the prefix that a bucket's texts share."""
 
     bucket_records: int = 50_000
     step: int = 8
@@ -95,58 +96,77 @@ def canonical_records(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return materialize(rows.mapInArrow(_canonical_rows, "id long, key binary, text string, n long, least long"), "canonical")
 
 
-def _prefix(length: int):
-    return F.substring(F.encode("text", "utf-8"), 1, length)
+def _combine(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Partial counts of an input partition added up, in a trie of at most ``limit`` texts at a time."""
+
+    def result(trie: CountingTrie) -> pa.RecordBatch:
+        texts, n, least = zip(*trie.items(), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), pa.array(n, pa.int64()), pa.array(least, pa.int64())], ["bytes", "n", "least"])
+
+    trie, held = CountingTrie(), 0
+    for batch in batches:
+        for text, n, least in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            trie.add(text, n, least)
+            held += 1
+        if held >= limit:
+            yield result(trie)
+            trie, held = CountingTrie(), 0
+    if held:
+        yield result(trie)
+
+
+def _prefix(length):
+    return F.substring("bytes", F.lit(1), length)
+
+
+def _shared(a: str, b: str):
+    """How many bytes two binary columns begin with in common."""
+    short = F.least(F.length(a), F.length(b))
+    places = F.when(short > 0, F.sequence(F.lit(1), short)).otherwise(F.array().cast("array<int>"))
+    differ = F.filter(places, lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1)))
+    return F.when(F.size(differ) > 0, F.element_at(differ, 1) - 1).otherwise(short)
 
 
-def oversized_prefixes(partials: DataFrame, rules: RadixRules) -> list[list[bytes]]:
-    """By level, the prefixes of more than ``bucket_records`` partial counts of more than one text.
+def oversized(rest: DataFrame, rules: RadixRules) -> DataFrame:
+    """Written table (bucket, length) of the buckets with more than ``bucket_records`` partial
+    counts of more than one text, with the length of the prefixes to split them by.
 
-    At most records / bucket_records prefixes a level: the only thing the driver holds.
-    Each level reads only the records below the oversized prefixes of the level before.
+    The bytes between those of all texts that the least and the greatest text share are the
+    same, so a level skips them: each level splits every bucket it touches.
     """
-    levels: list[list[bytes]] = []
-    rest = partials.select("text")
-    total = rest.count()
-    if total <= rules.bucket_records:
-        return levels
-    length = 0
+    sizes = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"), F.min("bytes").alias("a"), F.max("bytes").alias("b"))
+    large = sizes.where((F.col("rows") > rules.bucket_records) & (F.col("a") != F.col("b")))
+    return materialize(large.select("bucket", (_shared("a", "b") + rules.step).alias("length")), "oversized")
+
+
+def radix_buckets(partials: DataFrame, rules: RadixRules) -> DataFrame:
+    """``partials`` (bytes, n, least), a written table, with ``bucket``: the shortest prefix that fits.
+
+    Prefixes stay a distributed table; only the records below oversized ones go to a next level.
+    """
+    fit: list[DataFrame] = []
+    rest = partials.withColumn("bucket", _prefix(F.lit(rules.step)))
     while True:
-        length += rules.step
-        sizes = (
-            rest.groupBy(_prefix(length).alias("prefix"))
-            .agg(F.count(F.lit(1)).alias("n"), F.min("text").alias("a"), F.max("text").alias("b"))
-            .where((F.col("n") > rules.bucket_records) & (F.col("a") != F.col("b")))
-        )
-        found = [bytes(r["prefix"]) for r in sizes.select("prefix").collect()]
-        if not found:
-            return levels
-        levels.append(found)
-        keep = partials.sparkSession.createDataFrame([(bytearray(p),) for p in found], "prefix binary")
-        rest = rest.join(F.broadcast(keep), _prefix(length) == F.col("prefix"), "left_semi")  # bounded as above
-
-
-def _bucket(partials: DataFrame, levels: list[list[bytes]], step: int) -> DataFrame:
-    """``partials`` with ``bucket``: the first prefix of the text that is not oversized."""
-    out = partials.withColumn("bucket", _prefix(step)).withColumn("split", F.lit(bool(levels)))
-    for i, found in enumerate(levels):
-        marks = partials.sparkSession.createDataFrame([(bytearray(p),) for p in found], "mark binary")
-        out = (
-            out.join(F.broadcast(marks), F.col("split") & (F.col("bucket") == F.col("mark")), "left")
-            .withColumn("split", F.col("mark").isNotNull())
-            .withColumn("bucket", F.when(F.col("split"), _prefix((i + 2) * step)).otherwise(F.col("bucket")))
-            .drop("mark")
-        )
-    return out.drop("split")
+        large = oversized(rest, rules)
+        if large.isEmpty():
+            break
+        marked = lookup(rest, large, ["bucket"], "left")
+        fit.append(marked.where(F.col("length").isNull()).drop("length"))
+        below = marked.where(F.col("length").isNotNull())
+        rest = materialize(below.select("bytes", "n", "least", _prefix(F.col("length")).alias("bucket")), "radix")
+    out = rest
+    for part in fit:
+        out = out.unionByName(part)
+    return out
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Count bucket after bucket of a partition sorted by bucket; one trie is alive at a time."""
 
     def result(trie: CountingTrie) -> pa.RecordBatch:
-        found = list(trie.items())
-        texts = pa.array([t.decode() for t, _, _ in found], pa.string())
-        return pa.RecordBatch.from_arrays([digests(texts), texts, pa.array([n for _, n, _ in found], pa.int64()), pa.array([i for _, _, i in found], pa.int64())], ["key", "text", "copies", "first_id"])
+        found, n, least = zip(*trie.items(), strict=True)
+        texts = pa.array([t.decode() for t in found], pa.string())
+        return pa.RecordBatch.from_arrays([digests(texts), texts, pa.array(n, pa.int64()), pa.array(least, pa.int64())], ["key", "text", "copies", "first_id"])
 
     trie, current = CountingTrie(), None
     for batch in batches:
@@ -155,18 +175,26 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield result(trie)
                 trie = CountingTrie()
             current = bucket
-            trie.add(text.encode(), n, least)
+            trie.add(text, n, least)
     if current is not None:
         yield result(trie)
 
 
+def partial_counts(records: DataFrame, rules: RadixRules) -> DataFrame:
+    """Written table (bytes, n, least): the texts' partial counts, combined per input partition.
+
+    A text of a third of all rows leaves one count per partition, not one per row.
+    """
+    rows = records.where(F.col("text").isNotNull()).select(F.encode("text", "utf-8").alias("bytes"), "n", "least")
+    limit = rules.bucket_records
+    return materialize(rows.mapInArrow(lambda batches: _combine(batches, limit), "bytes binary, n long, least long"), "partials")
+
+
 def count_statements(records: DataFrame, rules: RadixRules | None = None) -> DataFrame:
     """(key, text, copies, first_id) of every canonical text of ``canonical_records``."""
     rules = rules or RadixRules()
-    partials = records.where(F.col("text").isNotNull()).select("text", "n", "least")
-    levels = oversized_prefixes(partials, rules)
     n = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = _bucket(partials, levels, rules.step).select("bucket", "text", "n", "least").repartition(n, "bucket").sortWithinPartitions("bucket")
+    placed = radix_buckets(partial_counts(records, rules), rules).select("bucket", "bytes", "n", "least").repartition(n, "bucket").sortWithinPartitions("bucket")
     return placed.mapInArrow(_count, "key binary, text string, copies long, first_id long")
 
 

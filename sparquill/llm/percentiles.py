@@ -10,10 +10,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparquill.operators.ordering import ordered_table
+from sparquill.operators.quantiles import group_percentiles, value_counts
+
+
+def runs_of(df: DataFrame, groups: Sequence[str], value_col: str) -> DataFrame:
+    """(groups..., value, n): the summary of all of ``df``, for percentiles that no day joins."""
+    return value_counts(df, groups, F.col(value_col))
 
 
 def daily_runs(df: DataFrame, groups: Sequence[str], value_col: str, time_col: str | None = None) -> DataFrame:
@@ -22,11 +27,9 @@ def daily_runs(df: DataFrame, groups: Sequence[str], value_col: str, time_col: s
     ``day`` is the UTC date, null without a time. Null, NaN and infinite values take no part.
     Nulls in a group column form a group of their own.
     """
-    v = F.col(value_col).cast("double")
     micros = F.unix_micros(F.col(time_col).cast("timestamp")) if time_col else F.lit(None).cast("long")
     day = F.date_from_unix_date(F.floor(micros / F.lit(86_400_000_000)).cast("int"))
-    kept = df.select(*groups, day.alias("day"), (v + F.lit(0.0)).alias("value")).where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != F.lit(float("inf"))))
-    return kept.groupBy(*groups, "day", "value").agg(F.count(F.lit(1)).alias("n"))
+    return value_counts(df.select(*groups, F.col(value_col).alias("__value"), day.alias("day")), [*groups, "day"], F.col("__value"))
 
 
 def join_runs(*days: DataFrame) -> DataFrame:
@@ -41,37 +44,7 @@ def percentiles(runs: DataFrame, groups: Sequence[str], probs: Sequence[float])
     """(groups..., n, p<i>..., max_error): interpolated percentiles of each group.
 
     ``p<i>`` belongs to ``probs[i]``: at place h = (n - 1) * p of the sorted values, between
-    the values at floor(h) and ceil(h). ``max_error`` is 0. A group is spread over as many
-    sort partitions as its values need; what is gathered per group is one row per partition
-    and two values per percentile.
+    the values at floor(h) and ceil(h). ``max_error`` is 0. A group of any size is sorted over as
+    many tasks as its values need.
     """
-    kept = runs.select(*groups, "value", "n")
-    line = ordered_table(kept, [*groups, "value"], "sorted_runs")
-    pieces = line.groupBy("_part", *groups).agg(F.sum("n").alias("held"))
-    own = Window.partitionBy(*groups)
-    so_far = own.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = pieces.select("_part", *groups, "held", F.sum("held").over(own).alias("total"), F.coalesce(F.sum("held").over(so_far), F.lit(0)).alias("offset"))
-    place = [(F.col("total") - 1).cast("double") * p for p in probs]
-    targets = F.array(*[F.struct(F.lit(i).alias("i"), side.alias("side"), at.cast("long").alias("at")) for i, h in enumerate(place) for side, at in ((F.lit(0), F.floor(h)), (F.lit(1), F.ceil(h)))])
-    inside = F.filter(targets, lambda t: (t["at"] >= F.col("offset")) & (t["at"] < F.col("offset") + F.col("held")))
-    wanted = offsets.withColumn("targets", inside).where(F.size("targets") > 0)
-    # the runs of a piece in their order: the sum up to each is its range of places
-    in_piece = Window.partitionBy("_part", *groups).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    piece = ["_part", *groups]
-    other = {c: f"_w{i}" for i, c in enumerate(piece)}
-    wanted = wanted.select(*[F.col(c).alias(o) for c, o in other.items()], "total", "offset", "targets")
-    near = line.drop("_row").join(wanted, [F.col(c).eqNullSafe(F.col(o)) for c, o in other.items()]).drop(*other.values())
-    ranged = near.withColumn("upto", F.col("offset") + F.sum("n").over(in_piece))
-    hits = ranged.select(
-        *groups, "total", "value",
-        F.explode(F.filter("targets", lambda t: (t["at"] < F.col("upto")) & (t["at"] >= F.col("upto") - F.col("n")))).alias("t"),
-    )
-    found = hits.groupBy(*groups, "total").agg(
-        *[F.max(F.when((F.col("t.i") == i) & (F.col("t.side") == side), F.col("value"))).alias(f"_{i}_{side}") for i in range(len(probs)) for side in (0, 1)]
-    )
-    out = []
-    for i, p in enumerate(probs):
-        h = (F.col("total") - 1).cast("double") * p
-        lo, hi = F.col(f"_{i}_0"), F.col(f"_{i}_1")
-        out.append((lo + (hi - lo) * (h - F.floor(h))).alias(f"p{i}"))
-    return found.select(*groups, F.col("total").alias("n"), *out, F.lit(0.0).alias("max_error"))
+    return group_percentiles(runs, groups, probs).withColumn("max_error", F.lit(0.0))

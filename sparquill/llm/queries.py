@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparquill.llm.duplicates import collapse, copies
 from sparquill.llm.leaks import leaked_items
 from sparquill.llm.mixing import mix, mix_report
-from sparquill.llm.percentiles import daily_runs, join_runs, percentiles
+from sparquill.llm.percentiles import daily_runs, join_runs, percentiles, runs_of
 from sparquill.llm.rankings import top_items
 from sparquill.llm.screening import ScreenRules, training_documents, score_documents, source_rates, train
 from sparquill.llm.splits import query_links, related_pairs, spanning_forest, split_rows
@@ -54,7 +54,7 @@ def _named(df: DataFrame) -> DataFrame:
 
 def p5_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     """Exact percentiles of actual_total_time_ms per query_id and hint."""
-    return _named(percentiles(daily_runs(table(spark, folder, LOG), GROUPS, "actual_total_time_ms", "created_at"), GROUPS, PROBS))
+    return _named(percentiles(runs_of(table(spark, folder, LOG), GROUPS, "actual_total_time_ms"), GROUPS, PROBS))
 
 
 def p5_daily_runs(spark: SparkSession, folder: str) -> DataFrame:

@@ -28,7 +28,8 @@ def _tokens(text: str) -> Iterator[str]:
     for m in _TOKEN.finditer(text.lower()):
         kind = m.lastgroup
         if kind == "literal":
-            inner = m.group().strip("'") if m.group() != "''" else ""
+            whole = m.group()
+            inner = whole[1:-1] if len(whole) > 1 and whole.endswith("'") else whole[1:]
             yield "'" + " ".join(inner.split()) + "'"
         elif kind in ("name", "tick"):
             yield " ".join(m.group(kind).split())
@@ -36,53 +37,102 @@ def _tokens(text: str) -> Iterator[str]:
             yield m.group()
 
 
-def _flush(clause: str, parts: list[tuple[str, list[str]]], out: list[str]) -> None:
-    """Append a clause; ``parts`` are its pieces with the separator before each."""
-    pieces = [" ".join(p) for _, p in parts]
-    if clause in _SORTED_BY_COMMA and len(pieces) > 1:
-        head = ""
-        if pieces[0].startswith("distinct "):
-            head, pieces[0] = "distinct ", pieces[0][9:]
-        pieces = sorted(pieces)
-        out.append(f"{clause} {head}{' , '.join(pieces)}")
-    elif clause in _SORTED_BY_AND and len(pieces) > 1:
-        out.append(f"{clause} {' and '.join(sorted(pieces))}")
+def _tree(tokens: list[str]) -> list:
+    """Tokens with each pair of parentheses as a list of its own."""
+    out: list = []
+    stack = [out]
+    for t in tokens:
+        if t == "(":
+            stack.append([])
+            stack[-2].append(stack[-1])
+        elif t == ")":
+            if len(stack) > 1:
+                stack.pop()
+        else:
+            stack[-1].append(t)
+    return out
+
+
+def _plain(tree: list) -> str:
+    return " ".join(x for x in (t if isinstance(t, str) else _condition(t) for t in tree) if x)
+
+
+def _conditions(tree: list) -> list[str]:
+    """The AND-ed conditions of a stretch without OR; parentheses that only hold such are undone."""
+    parts: list[list] = [[]]
+    between = False
+    for t in tree:
+        if t == "and" and not between:
+            parts.append([])
+            continue
+        between = t == "between" or (between and t != "and")
+        parts[-1].append(t)
+    out = []
+    for part in parts:
+        if len(part) == 1 and isinstance(part[0], list):
+            out += [_condition(part[0])] if "or" in part[0] else _conditions(part[0])
+        else:
+            out.append(_plain(part))
+    return [c for c in out if c]
+
+
+def _condition(tree: list) -> str:
+    """A condition with the parts of its ANDs in order; OR binds less, so it bounds what may move."""
+    runs: list[list] = [[]]
+    for t in tree:
+        if t == "or":
+            runs.append([])
+        else:
+            runs[-1].append(t)
+    return " or ".join(" and ".join(sorted(_conditions(r))) for r in runs)
+
+
+def _flush(clause: str, parts: list[list[str]], out: list[str]) -> None:
+    """Append a clause; ``parts`` are its pieces, the selected columns or one piece."""
+    if clause in _SORTED_BY_AND:
+        body = _condition(_tree(parts[0]))
     else:
-        body = "".join((f" {sep} " if i else "") + piece for i, ((sep, _), piece) in enumerate(zip(parts, pieces, strict=True)))
-        out.append(f"{clause} {body}".strip())
-    out[:] = [o for o in out if o]
+        pieces = [" ".join(p) for p in parts]
+        head = ""
+        if clause in _SORTED_BY_COMMA and len(pieces) > 1:
+            if pieces[0].startswith("distinct "):
+                head, pieces[0] = "distinct ", pieces[0][9:]
+            pieces = sorted(pieces)
+        body = head + " , ".join(pieces)
+    text = f"{clause} {body}".strip()
+    if text:
+        out.append(text)
 
 
 def canonical(text: str) -> str:
     """The canonical text of a statement; '' for a text of only blanks, parentheses or semicolons.
 
     A comma inside parentheses separates arguments, not selected columns, and the AND of a
-    BETWEEN separates bounds, not conditions, so neither is a place to reorder at.
+    BETWEEN separates bounds, not conditions, so neither is a place to reorder at. Beside an OR,
+    conditions change places only between the same two ORs, and a condition in parentheses with
+    an OR in it moves as a whole.
     """
     out: list[str] = []
-    clause, parts, depth, base, between = "", [("", [])], 0, 0, False
+    clause, parts, depth, base = "", [[]], 0, 0
     for t in _tokens(text):
-        if t in "();":
+        if t == ";":
+            continue
+        if t in "()":
             depth += (t == "(") - (t == ")")
             if depth < base:  # the end of a query in parentheses ends its last clause
                 _flush(clause, parts, out)
-                clause, parts, base, between = "", [("", [])], depth, False
-            continue
-        if t in _CLAUSES:
-            if clause or parts[0][1]:
+                clause, parts, base = "", [[]], depth
+            elif clause in _SORTED_BY_AND:
+                parts[0].append(t)
+        elif t in _CLAUSES:
+            if clause or parts[0]:
                 _flush(clause, parts, out)
-            clause, parts, base, between = t, [("", [])], depth, False
-        elif t == "and" and between:
-            parts[-1][1].append(t)
-            between = False
-        elif t == "and" and clause in _SORTED_BY_AND:
-            parts.append(("and", []))
+            clause, parts, base = t, [[]], depth
         elif t == "," and clause in _SORTED_BY_COMMA and depth <= base:
-            parts.append((",", []))
+            parts.append([])
         else:
-            between = between or t == "between"
-            parts[-1][1].append(t)
-    if clause or parts[0][1]:
+            parts[-1].append(t)
+    if clause or parts[0]:
         _flush(clause, parts, out)
     return " ".join(out)
 

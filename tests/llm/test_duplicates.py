@@ -2,8 +2,9 @@ from collections import defaultdict
 
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from sparquill.llm.duplicates import CountingTrie, RadixRules, canonical_records, collapse, copies, oversized_prefixes
+from sparquill.llm.duplicates import CountingTrie, RadixRules, canonical_records, collapse, copies, count_statements, oversized, partial_counts, radix_buckets
 from sparquill.llm.statements import canonical
 
 SCHEMA = "id long, sql_text string, key string, text string"
@@ -38,14 +39,27 @@ def test_collapse_and_copies_equal_brute_force(spark):
 
 def test_recursion_splits_until_buckets_fit(spark):
     texts = [f"select column_{i:04d} from t" for i in range(200)] + ["select same from t"] * 50
-    partials = canonical_records(frame(spark, texts).repartition(8), "id", "sql_text").where("text is not null")
-    levels = oversized_prefixes(partials, RadixRules(bucket_records=20, step=8))
-    assert len(levels) >= 2 and all(len(p) <= 200 / 20 + 1 for p in levels)
+    rules = RadixRules(bucket_records=20, step=1)
+    partials = partial_counts(canonical_records(frame(spark, texts).repartition(8), "id", "sql_text"), rules)
+    placed = radix_buckets(partials, rules)
+    assert placed.count() == partials.count()
+    sizes = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("bytes").alias("texts")).collect()
+    assert all(r["n"] <= 20 or r["texts"] == 1 for r in sizes) and len(sizes) >= 10
 
 
-def test_one_text_cannot_be_split(spark):
-    partials = canonical_records(frame(spark, ["select 1"] * 40).repartition(40), "id", "sql_text").where("text is not null")
-    assert oversized_prefixes(partials, RadixRules(bucket_records=2, step=2)) == []
+def test_levels_skip_what_all_texts_share(spark):
+    head = b"x" * 5000
+    rest = spark.createDataFrame([(head + bytes([c]), b"x") for c in b"abcdef"], "bytes binary, bucket binary")
+    assert [r["length"] for r in oversized(rest, RadixRules(bucket_records=2, step=3)).collect()] == [5003]
+    ends = spark.createDataFrame([(b"ab", b"a"), (b"abc", b"a"), (b"", b""), (b"", b"")], "bytes binary, bucket binary")
+    assert [(bytes(r["bucket"]), r["length"]) for r in oversized(ends, RadixRules(bucket_records=1, step=4)).collect()] == [(b"a", 6)]
+
+
+def test_one_text_cannot_be_split_and_is_combined(spark):
+    rules = RadixRules(bucket_records=2, step=2)
+    partials = partial_counts(canonical_records(frame(spark, ["select 1"] * 40).repartition(5), "id", "sql_text"), rules)
+    assert partials.count() <= 5 and partials.agg(F.sum("n")).first()[0] == 40
+    assert [r["copies"] for r in count_statements(canonical_records(frame(spark, ["select 1"] * 40).repartition(40), "id", "sql_text"), rules).collect()] == [40]
 
 
 def test_empty_and_repeated_ids(spark):

@@ -31,6 +31,26 @@ def test_literals_and_nesting_are_no_places_to_reorder():
     assert canonical("select a from (select b, c from u where p=1 and q=2) s") == canonical("select a from (select c, b from u where q=2 and p=1) s")
 
 
+def where(condition):
+    return canonical(f"select a from t where {condition}")
+
+
+def test_conditions_move_between_ands_only():
+    assert where("a=1 and b=2 or c=3") != where("b=2 or c=3 and a=1")
+    assert where("a=1 and b=2 or c=3") == where("b=2 and a=1 or c=3") == where("(b=2 and a=1) or c=3")
+    assert where("a=1 and (b=2 or c=3)") == where("((b=2) or c=3) and a=1")
+    assert where("(c=3 and a=1) and b=2") == where("a=1 and b=2 and (c=3)")
+    assert where("x between 1 and 2 or b=2 and a=1") == where("x between (1) and (2) or a=1 and b=2")
+    assert where("f(a, b) = 1 and not (c=2 and b=3)") == where("not (b=3 and c=2) and f(a, b) = 1")
+    assert where("a in (select b from u where c=1 and d=2) and e=3") == where("a in (select b from u where d=2 and c=1) and e=3")
+
+
+def test_quotes_inside_literals_count():
+    assert where("x = 'x\'\'\'") != where("x = 'x'")
+    assert where("x = ''") != where("x = ''''")
+    assert where("x = 'a  B'") == where("x = 'A b'")
+
+
 @pytest.mark.parametrize("text", ["", "  ", ";", "()", "'", "'open", "select", "and and", "where", "€ ☃", "x" * 100_000])
 def test_odd_texts(text):
     assert isinstance(canonical(text), str)
