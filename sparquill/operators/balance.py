@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from sparquill.storage import materialize
+
 #: Hash bins of light keys per task; the bins, not the keys, are packed.
 BINS_PER_TASK = 16
 #: A key is heavy from this part of a task's fair share on.
@@ -170,16 +172,17 @@ def balanced_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: s
     return placed.join(copies, [_TASK, *keys], how).drop(_TASK)
 
 
-def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", written: bool = True) -> DataFrame:
     """``balanced_join``, but with ``right`` broadcast while it has at most ``BROADCAST_ROWS`` rows.
 
-    Both sides are scans or written tables, as they are read to be counted.
+    Both sides are scans or written tables, as they are read to be counted; a ``left`` that is
+    not ``written`` is, where it has to be counted.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be inner or left")
     if right.count() <= BROADCAST_ROWS:
         return left.join(F.broadcast(_apart(left, right, keys)), list(keys), how)
-    return balanced_join(left, right, keys, how)
+    return balanced_join(left if written else materialize(left, "looked_up"), right, keys, how)
 
 
 def task_shares(plan: LoadPlan) -> list[Row]:
