@@ -7,7 +7,7 @@ bucket then counts each text at its terminal node.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -68,32 +68,31 @@ class CountingTrie:
 
 
 def _canonical_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, key, text, n, least): a text comes with the first of its rows in the batch only,
-    together with the batch's count and least id of it."""
+    """(id, key, text, n, least, kept...): a text comes with the first of its rows in the batch
+    only, together with the batch's count and least id of it."""
     for batch in batches:
-        batch = batch.filter(batch.column(1).is_valid())
-        if not batch.num_rows:
-            continue
         ids, texts = batch.column(0), canonical_array(batch.column(1))
         codes = texts.dictionary_encode().indices
-        first = first_places(codes)
+        first = pa.compute.and_(first_places(codes), texts.is_valid())
         sums = pa.table({"k": codes, "id": ids}).group_by("k").aggregate([("id", "count"), ("id", "min")])
         order = pa.compute.index_in(codes, value_set=sums["k"].combine_chunks())
         null = pa.scalar(None, pa.int64())
         n = pa.compute.if_else(first, sums["id_count"].combine_chunks().take(order), null)
         least = pa.compute.if_else(first, sums["id_min"].combine_chunks().take(order), null)
         text = pa.compute.if_else(first, texts, pa.scalar(None, pa.string()))
-        yield pa.RecordBatch.from_arrays([ids, digests(texts), text, n, least], ["id", "key", "text", "n", "least"])
+        yield pa.RecordBatch.from_arrays([ids, digests(texts), text, n, least, *batch.columns[2:]], ["id", "key", "text", "n", "least", *batch.schema.names[2:]])
 
 
-def canonical_records(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Written table (id, key, text, n, least) of the records whose text is not null.
+def canonical_records(df: DataFrame, id_col: str, text_col: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Written table (id, key, text, n, least, keep...) of the records.
 
-    ``key`` is the digest of the canonical text. ``text``, ``n`` and ``least`` are partial
-    counts, combined per Arrow batch: null but on the first row of a text in its batch.
+    ``key`` is the digest of the canonical text, null for a null text. ``text``, ``n`` and
+    ``least`` are partial counts, combined per Arrow batch: null but on the first row of a text
+    in its batch. ``keep`` names columns to go along, none of the names above.
     """
-    rows = df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    return materialize(rows.mapInArrow(_canonical_rows, "id long, key binary, text string, n long, least long"), "canonical")
+    rows = df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), *keep)
+    kept = "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+    return materialize(rows.mapInArrow(_canonical_rows, f"id long, key binary, text string, n long, least long{kept}"), "canonical")
 
 
 def _combine(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,8 @@ from sparquill.llm.mixing import mix, mix_report
 from sparquill.llm.percentiles import daily_runs, join_runs, percentiles, runs_of
 from sparquill.llm.rankings import top_items
 from sparquill.llm.screening import ScreenRules, training_documents, score_documents, source_rates, train
-from sparquill.llm.splits import query_links, related_pairs, spanning_forest, split_rows
+from sparquill.llm.splits import log_records, query_links, spanning_forest, split_report, split_rows
+from sparquill.operators.balance import balanced_join
 from sparquill.sources.tables import table, widened
 from sparquill.storage import materialize
 
@@ -21,14 +22,26 @@ PROBS = (0.5, 0.9, 0.95, 0.99)
 GROUPS = ("query_id", "hint")
 
 
+def _links(spark: SparkSession, folder: str) -> DataFrame:
+    return query_links(log_records(table(spark, folder, LOG)))
+
+
+def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Every query_id that is one query with others, and the root of its group."""
+    _, labels = spanning_forest(_links(spark, folder))
+    return labels.select(F.col("node").alias("query_id"), "root")
+
+
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs of query_ids that are one query."""
-    return related_pairs(query_links(table(spark, folder, LOG))).select(F.col("a").alias("query_id_1"), F.col("b").alias("query_id_2"))
+    """Pairs of query_ids that are one query: the groups' members, paired as the list asks."""
+    groups = p1_groups(spark, folder)
+    pairs = balanced_join(groups, groups.withColumnRenamed("query_id", "other"), ["root"])
+    return pairs.where(F.col("query_id") < F.col("other")).select(F.col("query_id").alias("query_id_1"), F.col("other").alias("query_id_2"))
 
 
 def p1_forest(spark: SparkSession, folder: str) -> DataFrame:
     """Edges of the spanning forest of related query_ids; rule 0: spelling, 1: statement."""
-    forest, _ = spanning_forest(query_links(table(spark, folder, LOG)))
+    forest, _ = spanning_forest(_links(spark, folder))
     return forest.select(F.col("u").alias("query_id_1"), F.col("v").alias("query_id_2"), F.col("w").alias("rule"))
 
 
@@ -37,6 +50,11 @@ def p1_splits(spark: SparkSession, folder: str) -> DataFrame:
     return split_rows(table(spark, folder, LOG), SHARES).select("id", "split")
 
 
+def p1_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and reached shares of the splits."""
+    return split_report(materialize(split_rows(table(spark, folder, LOG), SHARES), "assigned"), SHARES)
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every log row that is not the first of its statement, with the first."""
     return copies(table(spark, folder, LOG), "id", "sql_text")
@@ -120,7 +138,7 @@ def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_forest, p1_splits, p2_found, p2_statements, p5_percentiles, p5_daily_runs, p5_joined_days, p6_found, p8_found, p9_mix, p9_shares, p10_found, p10_scores, p10_rates)
+    for f in (p1_found, p1_groups, p1_forest, p1_splits, p1_shares, p2_found, p2_statements, p5_percentiles, p5_daily_runs, p5_joined_days, p6_found, p8_found, p9_mix, p9_shares, p10_found, p10_scores, p10_rates)
 }
 
 _P5 = """

@@ -1,10 +1,12 @@
-import datetime as dt
 import random
 from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from sparquill.llm.splits import assign_splits, normal_id, query_links, related_pairs, spanning_forest, split_rows, star_edges
+import pytest
+
+from sparquill.llm.splits import assign_splits, log_records, normal_id, query_links, spanning_forest, split_report, split_rows, star_edges
+from sparquill.operators import balance
 
 LOG = "id long, query_id string, sql_text string, root string"
 SHARES = (("train", 0.8), ("validation", 0.1), ("test", 0.1))
@@ -27,7 +29,9 @@ def components(edges):
     return {frozenset(c) for c in out.values()}
 
 
-def test_forest_spans_and_has_no_cycle(spark):
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_forest_spans_and_has_no_cycle(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(balance, "BROADCAST_ROWS", broadcast)
     rng = random.Random(3)
     edges = [(f"n{a}", f"n{b}", rng.randrange(3)) for a, b in ((rng.randrange(60), rng.randrange(60)) for _ in range(70)) if a != b]
     edges += [(f"c{i}", f"c{i + 1}", 1) for i in range(40)]
@@ -48,7 +52,7 @@ def test_no_edges(spark):
     forest, labels = spanning_forest(spark.createDataFrame([], "u string, v string, w int"))
     assert forest.count() == 0 and labels.count() == 0
     loops = spark.createDataFrame([("a", "a", 0)], "u string, v string, w int")
-    assert related_pairs(loops).count() == 0
+    assert [t.count() for t in spanning_forest(loops)] == [0, 0]
 
 
 def test_spellings(spark):
@@ -70,8 +74,8 @@ def rows(spark):
 
 
 def test_chains_and_nulls(spark):
-    got = {(r["a"], r["b"]) for r in related_pairs(query_links(rows(spark))).collect()}
-    assert got == {("A-1", "a_1"), ("A-1", "b"), ("a_1", "b")}
+    _, labels = spanning_forest(query_links(log_records(rows(spark))))
+    assert {(r["node"], r["root"]) for r in labels.collect()} == {(n, "A-1") for n in ("A-1", "a_1", "b")}
 
 
 def test_rows_of_one_query_stay_together(spark):
@@ -84,12 +88,46 @@ def test_rows_of_one_query_stay_together(spark):
     assert split_rows(rows(spark).limit(0), SHARES).count() == 0
 
 
-def test_shares_are_met_despite_a_large_group(spark):
-    sizes = spark.range(3000).select(F.concat(F.lit("g"), F.col("id").cast("string")).alias("root"), F.when(F.col("id") == 0, 9000).otherwise(1 + F.col("id") % 5).cast("long").alias("n_rows"))
-    out = assign_splits(sizes, SHARES)
-    assert out.count() == 3000
+def sized(spark, groups):
+    return spark.createDataFrame([(f"g{i}", n) for i, n in enumerate(groups)], "root string, n_rows long")
+
+
+@pytest.mark.parametrize(
+    "groups,off",
+    [
+        ([9000] + [1 + i % 5 for i in range(3000)], 0.003),
+        ([4000, 1200, 1100, 900, 700, 600, 500] + [1 + i % 40 for i in range(500)], 0.01),
+        ([1000 // k for k in range(1, 1000)], 0.005),
+        ([100, 100, 100, 100, 100, 100, 100, 100, 100, 100], 0.11),
+    ],
+)
+def test_shares_are_met_despite_large_groups(spark, groups, off):
+    out = assign_splits(sized(spark, groups), SHARES)
+    assert out.count() == len(groups) and out.agg(F.sum("n_rows")).first()[0] == sum(groups)
     total = {r["split"]: r["n"] for r in out.groupBy("split").agg(F.sum("n_rows").alias("n")).collect()}
     for name, share in SHARES:
-        assert abs(total[name] / sum(total.values()) - share) < 0.01
-    again = assign_splits(sizes, SHARES)
-    assert out.exceptAll(again).count() == 0
+        assert abs(total.get(name, 0) / sum(groups) - share) <= off
+    assert out.exceptAll(assign_splits(sized(spark, groups), SHARES)).count() == 0
+
+
+def test_no_split_gets_a_group_it_has_no_room_for(spark):
+    out = assign_splits(sized(spark, [500, 300] + [1] * 200), SHARES).where("n_rows > 1").collect()
+    assert {r["split"] for r in out} == {"train"}
+
+
+def test_planted_groups_come_out_whole_and_in_proportion(spark):
+    rng = random.Random(8)
+    data, group = [], 0
+    while len(data) < 4000:
+        size = rng.choice([1, 2, 5, 20, 90]) if data else 900
+        for k in range(size):
+            name = f"q {group}".upper() if k % 2 else f" q_{group} "
+            data.append((len(data), name if k % 7 else f"alias{group}_{k % 3}", f"select {group} from t", str(group)))
+        group += 1
+    log = spark.createDataFrame(data, LOG)
+    out = split_rows(log, SHARES)
+    joined = out.join(log.select("id", F.col("root").alias("planted")), "id").groupBy("planted").agg(F.count_distinct("split").alias("splits"), F.count_distinct(out["root"]).alias("roots"))
+    assert joined.where("splits > 1 or roots > 1").count() == 0 and out.count() == len(data)
+    report = {r["split"]: r for r in split_report(out, SHARES).collect()}
+    assert all(abs(report[s]["reached_share"] - share) < 0.01 for s, share in SHARES)
+    assert sum(r["n_groups"] for r in report.values()) == group
