@@ -1,8 +1,10 @@
 """Sources mixed to target weights by a low-discrepancy schedule.
 
-Every source's documents are shuffled and packed into blocks of equal tokens. Slot i of the
-schedule takes the source that the i-th golden-ratio point falls to on the line of cumulative
-weights; the k-th slot of a source takes its k-th block, beginning anew after the last.
+Every source's documents are shuffled and laid end to end in blocks of equal tokens. Slot i of
+the schedule takes the source that the i-th golden-ratio point falls to on the line of
+cumulative weights; the k-th slot of a source takes its k-th block, beginning anew after the
+last. A document longer than a block fills the slots of the blocks that it reaches over, whose
+sources then bring nothing else, so long documents change neither shares nor block sizes.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparquill.operators.ordering import ordered_table, with_position
+from sparquill.storage import materialize
 
 _GOLDEN = 0.6180339887498949
 #: Fixed value: how the rank files' texts are split before the merges.
@@ -70,17 +73,18 @@ def token_counts(df: DataFrame, id_col: str, source_col: str, text_col: str, rul
 
 
 def pack_blocks(counts: DataFrame, rules: MixRules) -> tuple[DataFrame, dict[str, dict]]:
-    """``counts`` with ``block`` and ``place``, and for each source its documents, tokens and blocks.
+    """``counts``, a written table, with ``block`` and ``place``, and for each source its documents,
+    tokens and blocks.
 
     A source's documents stand in hashed order; block b holds those whose middle token lies in
-    the b-th of equal parts of the source's tokens. Parts are no smaller than the longest
-    document, so no block is empty.
+    the b-th of equal parts of the source's tokens, about ``block_tokens`` each. A block within
+    a longer document is empty.
     """
     known = counts.where(F.col("source").isNotNull())
     line = ordered_table(known.withColumn("turn", F.xxhash64("doc_id", F.lit(rules.seed))), ["source", "turn", "doc_id"], "shuffled")
-    stats = {r["source"]: r.asDict() for r in line.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_tokens").alias("tokens"), F.max("n_tokens").alias("longest")).collect()}  # a row per listed source
+    stats = {r["source"]: r.asDict() for r in line.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_tokens").alias("tokens")).collect()}  # a row per listed source
     for s in stats.values():
-        s["blocks"] = max(1, int(s["tokens"] // max(rules.block_tokens, s["longest"], 1)))
+        s["blocks"] = max(1, round(s["tokens"] / rules.block_tokens))
     spark = counts.sparkSession
     sizes = spark.createDataFrame([(k, s["tokens"], s["blocks"]) for k, s in stats.items()], "source string, all_tokens long, blocks long")
     pieces = line.groupBy("source", "_part").agg(F.sum("n_tokens").alias("held")).collect()  # a row per source and sort partition
@@ -141,9 +145,11 @@ def mix(documents: DataFrame, targets: DataFrame, rules: MixRules | None = None,
     rules = rules or MixRules()
     wanted = {r[0]: (float(r[1] or 0), int(r[2] or 0)) for r in targets.where(F.col("source").isNotNull()).select("source", "target_share", "max_repeats").collect()}
     listed = documents.where(F.col(source_col).isin(list(wanted)))
-    counts = token_counts(listed, id_col, source_col, text_col, rules)
+    # written, as the order below is sampled before it is made: the texts are encoded once
+    counts = materialize(token_counts(listed, id_col, source_col, text_col, rules), "token_counts")
     packed, stats = pack_blocks(counts, rules)
     slots = schedule(documents.sparkSession, stats, wanted)
+    # a block's slots are as many as its repeats, its documents as many as a block holds
     return slots.join(packed, ["source", "block"]).select("slot", "place", "doc_id", "source", "repeat_no", "n_tokens")
 
 
