@@ -10,7 +10,7 @@ from sparquill.llm.leaks import leaked_items
 from sparquill.llm.mixing import mix, mix_report
 from sparquill.llm.percentiles import daily_runs, join_runs, percentiles, runs_of
 from sparquill.llm.rankings import top_items
-from sparquill.llm.screening import ScreenRules, training_documents, score_documents, source_rates, train
+from sparquill.llm.screening import ScreenRules, fitted_screen, score_documents, source_rates
 from sparquill.llm.splits import log_records, query_links, spanning_forest, split_report, split_rows
 from sparquill.operators.balance import balanced_join
 from sparquill.sources.tables import table, widened
@@ -115,7 +115,7 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 def _scores(spark: SparkSession, folder: str, rules: ScreenRules) -> DataFrame:
     docs = table(spark, folder, "documents")
-    screen = train(training_documents(docs, table(spark, folder, "doc_review"), rules), rules)
+    screen = fitted_screen(docs, table(spark, folder, "doc_review"), rules, folder)
     return score_documents(widened(docs.select("doc_id", "source", "text")), screen)
 
 

@@ -19,16 +19,17 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparquill.llm.seeds import HARMFUL, HARMLESS
+from sparquill.storage import materialize
 
 
 @dataclass(frozen=True)
 class ScreenRules:
-    """``max_reviewed``: reviewed documents the fit may use, the first by hashed id;
-    ``max_phrases``: phrases of these without harm, the first by hash; ``background``: documents
+    """Bounds of the sample a fit uses: ``max_reviewed`` reviewed documents, the first by hashed id;
+    ``max_phrases`` different phrases each of harmless, of unreviewed and half as many of the other
+    phrases of harmful documents, the first by hash; ``background``: documents
     without a review whose phrases count as harmless with ``background_weight``, the first by
     hashed id; ``least_odds``: mean log odds of a suspect phrase's four worst words;
     ``least_words``: a phrase of fewer words is filled up to them by neutral ones. All else is
@@ -245,20 +246,19 @@ def _harmful_phrases(docs: list[list[list[str]]], screen: Screen, least: float =
 
 
 def train(sample: list[tuple[str, float | None]], rules: ScreenRules) -> Screen:
-    """Fit to documents (text, part of its verdicts that say offensive, None without any) and the
-    seeds.
+    """Fit to documents (text, part of its verdicts that say offensive, None without any).
 
     Suspect are a harmful document's phrases whose words are far likelier in harmful than in
     other documents. At first, the two most suspect count as its harmful ones. Then, in each
     round, they are those suspects that a model fitted without the document finds harmful: what
     only one document says of itself is not learnt. A document without any is taken for an
-    error of its raters. All other phrases of any document are harmless ones.
+    error of its raters. All other phrases of any document are harmless ones. Without a harmful
+    phrase or a harmless one there is nothing to tell apart, and every score is 0.
     """
     docs = [(phrases(t, rules.window), share) for t, share in sample if t]
     harmful = [d for d, s in docs if s is not None and s > 0.5 and d]
     harmless = [d for d, s in docs if s is not None and s < 0.5 and d]
     unknown = [d for d, s in docs if s is None and d]
-    seeds = [(p, y) for y, texts in ((1, HARMFUL), (0, HARMLESS)) for t in texts for p in phrases(t, rules.window)]
     odds = _suspicion(harmful, harmless + unknown)
 
     def suspicion(p: list[str]) -> float:
@@ -287,14 +287,14 @@ def train(sample: list[tuple[str, float | None]], rules: ScreenRules) -> Screen:
         apart = keys | doubtful
         negatives = [p for p in clean if " ".join(p) not in apart] + [p for p in mixed if " ".join(p) not in apart | clean_keys]
         rest = [p for p in background + broken + hard if " ".join(p) not in apart]
-        bags = [*positives, *negatives, *(p for p, _ in seeds), *rest]
-        labels = np.array([1] * len(positives) + [0] * len(negatives) + [y for _, y in seeds] + [0] * len(rest))
+        bags = [*positives, *negatives, *rest]
+        if not positives or len(positives) == len(bags):
+            return Screen(np.zeros((rules.buckets, rules.dimension), np.float32), np.zeros((rules.dimension, 2), np.float32), np.array([0, -50], np.float32), rules)
+        labels = np.array([1] * len(positives) + [0] * (len(bags) - len(positives)))
         weight = np.ones(len(bags))
         weight[labels == 1] = max(1.0, 0.15 * len(bags) / max(1, labels.sum()))
-        own = len(positives) + len(negatives)
-        weight[own : own + len(seeds)] *= 2.0
-        weight[own + len(seeds) :] = rules.background_weight
-        weight[len(bags) - sum(" ".join(p) not in apart for p in hard) :] = 2.0
+        weight[len(positives) + len(negatives) :] = rules.background_weight
+        weight[len(bags) - sum(" ".join(p) not in apart for p in hard) :] = 2.0  # the last of ``rest``
         return fit(bags, labels, weight, rules)
 
     for _ in range(rules.rounds):
@@ -382,6 +382,34 @@ def training_documents(docs: DataFrame, reviews: DataFrame, rules: ScreenRules)
     return [(r["text"], r["share"]) for r in sorted(rows.collect(), key=lambda r: r["doc_id"])]
 
 
+def store(screen: Screen, spark: SparkSession) -> DataFrame:
+    """A fitted model as a written table of one row, for ``load``."""
+    arrays = (screen.table.astype("<f4"), screen.weights.astype("<f4"), screen.bias.astype("<f4"))
+    return materialize(spark.createDataFrame([tuple(bytearray(a.tobytes()) for a in arrays)], "table binary, weights binary, bias binary"), "screen")
+
+
+def load(stored: DataFrame, rules: ScreenRules) -> Screen:
+    """The model that ``store`` wrote, to be used with the rules it was fitted under."""
+    table, weights, bias = (np.frombuffer(b, "<f4") for b in stored.first())
+    return Screen(table.reshape(rules.buckets, rules.dimension), weights.reshape(rules.dimension, 2), bias, rules)
+
+
+_FITTED: dict[tuple, DataFrame] = {}
+
+
+def fitted_screen(docs: DataFrame, reviews: DataFrame, rules: ScreenRules, name: str) -> Screen:
+    """The model of the data called ``name``: fitted and stored once per application, then loaded."""
+    spark = docs.sparkSession
+    key = (spark.sparkContext.applicationId, name, rules)
+    if key in _FITTED:
+        try:
+            return load(_FITTED[key], rules)
+        except Exception:  # the intermediate tables were dropped
+            del _FITTED[key]
+    _FITTED[key] = store(train(training_documents(docs, reviews, rules), rules), spark)
+    return load(_FITTED[key], rules)
+
+
 def score_documents(docs: DataFrame, screen: Screen, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """(doc_id, source, score) of every row: 0 to 1, over the whole text; 0 for null and empty texts."""
     shared = docs.sparkSession.sparkContext.broadcast(screen)  # buckets x dimension numbers

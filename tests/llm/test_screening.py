@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from sparquill.llm.screening import PartCache, ScreenRules, fit, phrases, plain_pieces, plain_word, score_documents, score_texts, source_rates, subwords, train, training_documents
+from sparquill.llm.screening import PartCache, ScreenRules, fit, load, phrases, plain_pieces, plain_word, score_documents, score_texts, source_rates, store, subwords, train, training_documents
 
 RULES = ScreenRules(buckets=4096, steps=60, rounds=1, folds=2)
 BENIGN = [f"the {a} rests upon the {b} of the {c}" for a in ("lever", "valve", "spring") for b in ("housing", "flange", "shaft") for c in ("pump", "motor", "mixer", "drill")]
@@ -86,6 +86,22 @@ def test_reviews(spark):
     assert training_documents(docs, reviews.limit(0), ScreenRules(background=2))[0][1] is None
 
 
-def test_training_without_reviews_rests_on_the_seeds():
-    model = train([], RULES)
-    assert model.score("you are a stupid idiot".split()) > 0.5 > model.score("the master cylinder drives the slave cylinder".split())
+@pytest.mark.parametrize("sample", [[], [("fine words", 0.0)], [("bad words", 1.0)], [("", None), (None, 1.0)]])
+def test_nothing_to_tell_apart(sample):
+    model = train(sample, RULES)
+    assert score_texts(["you are a stupid idiot", ""], PartCache(model)).max() < 0.01
+
+
+def test_a_model_is_fitted_once_and_stored(spark, screen, monkeypatch):
+    import sparquill.llm.screening as module
+
+    texts = [t for t, _ in made(30, 5)]
+    again = load(store(screen, spark), RULES)
+    assert np.array_equal(score_texts(texts, PartCache(again)), score_texts(texts, PartCache(screen)))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    reviews = spark.createDataFrame([], "review_id long, doc_id long, rater string, verdict string, reviewed_at timestamp")
+    calls = []
+    monkeypatch.setattr(module, "train", lambda sample, rules: calls.append(len(sample)) or screen)
+    for _ in range(2):
+        module.fitted_screen(docs, reviews, RULES, "some folder")
+    assert calls == [30]
