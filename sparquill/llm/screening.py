@@ -14,7 +14,7 @@ import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import repeat
 
 import numpy as np
@@ -32,7 +32,8 @@ class ScreenRules:
     phrases of harmful documents, the first by hash; ``background``: documents
     without a review whose phrases count as harmless with ``background_weight``, the first by
     hashed id; ``least_odds``: mean log odds of a suspect phrase's four worst words;
-    ``least_words``: a phrase of fewer words is filled up to them by neutral ones. All else is
+    ``least_words``: a phrase of fewer words is filled up to them by neutral ones; ``members``:
+    models that are averaged, each fitted to its own sample of harmless phrases. All else is
     the model's shape. ``threshold``: least score of a case."""
 
     max_reviewed: int = 3000
@@ -52,6 +53,7 @@ class ScreenRules:
     background_weight: float = 0.3
     least_odds: float = 2.0
     least_words: int = 6
+    members: int = 4
 
 
 # -- phrases ---------------------------------------------------------------------------------
@@ -164,23 +166,22 @@ class WordTable:
 
 @dataclass
 class Screen:
-    """A fitted model. A phrase's score is a logistic function of the mean of its words' parts."""
+    """Fitted models, (table, weights, bias) each, whose softmax inputs are averaged. A phrase's
+    score is a logistic function of the mean of its words' parts."""
 
-    table: np.ndarray
-    weights: np.ndarray
-    bias: np.ndarray
+    members: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
     rules: ScreenRules
 
     def parts(self, words: Sequence[str]) -> np.ndarray:
         """Each word's part of the difference of the two softmax inputs."""
         if not words:
             return np.zeros(0)
-        vectors = WordTable(words, self.rules).vectors(self.table)
-        return vectors @ (self.weights[:, 1] - self.weights[:, 0])
+        grams = WordTable(words, self.rules)
+        return np.mean([grams.vectors(table) @ (weights[:, 1] - weights[:, 0]) for table, weights, _ in self.members], axis=0)
 
     @property
     def offset(self) -> float:
-        return float(self.bias[1] - self.bias[0])
+        return float(np.mean([bias[1] - bias[0] for _, _, bias in self.members]))
 
     def score(self, phrase: Sequence[str]) -> float:
         mean = self.parts(phrase).sum() / max(len(phrase), self.rules.least_words)
@@ -224,7 +225,7 @@ def fit(bags: list[list[str]], labels: np.ndarray, importance: np.ndarray, rules
             m += 0.1 * (grad - m)
             v += 0.01 * (grad * grad - v)
             param -= (rules.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-    return Screen(table, weights, bias, rules)
+    return Screen([(table, weights, bias)], rules)
 
 
 def _suspicion(harmful: list[list[list[str]]], harmless: list[list[list[str]]]) -> dict[str, float]:
@@ -264,38 +265,44 @@ def train(sample: list[tuple[str, float | None]], rules: ScreenRules) -> Screen:
     def suspicion(p: list[str]) -> float:
         return sum(sorted((odds.get(w, 0.0) for w in p), reverse=True)[:4]) / 4
 
-    def first(groups: list[list[list[str]]], most: int) -> list[list[str]]:
+    def first(groups: list[list[list[str]]], most: int, salt: int = 0) -> list[list[str]]:
         by_text = {" ".join(p): p for g in groups for p in g}
-        return [by_text[k] for k in sorted(by_text, key=lambda x: zlib.crc32(x.encode()))[:most]]
+        return [by_text[k] for k in sorted(by_text, key=lambda x: zlib.crc32(x.encode(), salt))[:most]]
 
     suspect = [[p for p in d if suspicion(p) >= rules.least_odds] for d in harmful]
     chosen = [sorted(d, key=suspicion, reverse=True)[:2] for d in suspect]
-    clean = first(harmless, rules.max_phrases)
-    clean_keys = {" ".join(p) for p in clean}
-    background = [p for p in first(unknown, rules.max_phrases) if " ".join(p) not in clean_keys]
 
-    # harmless phrases broken by stray punctuation or line ends
-    broken = first([[part for p in clean + background for part in (p[:1], p[:2], p[2:3], p[-2:])]], rules.max_phrases // 2)
-    pool = [*first(harmless + unknown, 1 << 30), *broken]
+    def sampled(salt: int) -> tuple[list[list[str]], list[list[str]], list[list[str]]]:
+        clean = first(harmless, rules.max_phrases, salt)
+        keys = {" ".join(p) for p in clean}
+        background = [p for p in first(unknown, rules.max_phrases, salt) if " ".join(p) not in keys]
+        # harmless phrases broken by stray punctuation or line ends
+        cuts = [part for p in clean + background for part in (p[:1], p[:2], p[2:3], p[-2:])]
+        return clean, background, first([cuts], rules.max_phrases // 2, salt)
+
+    samples = [sampled(k) for k in range(rules.members)]
+    pool = first([*harmless, *unknown, *[broken for _, _, broken in samples]], 1 << 30)
     doubtful: set[str] = set()
     hard: list[list[str]] = []
 
-    def fitted(use: list[int]) -> Screen:
+    def fitted(use: list[int], salt: int = 0) -> Screen:
+        clean, background, broken = samples[salt]
+        clean_keys = {" ".join(p) for p in clean}
         positives = first([chosen[i] for i in use], rules.max_phrases)
         keys = {" ".join(p) for p in positives}
-        mixed = first([harmful[i] for i in use], rules.max_phrases // 2)
+        mixed = first([harmful[i] for i in use], rules.max_phrases // 2, salt)
         apart = keys | doubtful
         negatives = [p for p in clean if " ".join(p) not in apart] + [p for p in mixed if " ".join(p) not in apart | clean_keys]
         rest = [p for p in background + broken + hard if " ".join(p) not in apart]
         bags = [*positives, *negatives, *rest]
         if not positives or len(positives) == len(bags):
-            return Screen(np.zeros((rules.buckets, rules.dimension), np.float32), np.zeros((rules.dimension, 2), np.float32), np.array([0, -50], np.float32), rules)
+            return Screen([(np.zeros((rules.buckets, rules.dimension), np.float32), np.zeros((rules.dimension, 2), np.float32), np.array([0, -50], np.float32))], rules)
         labels = np.array([1] * len(positives) + [0] * (len(bags) - len(positives)))
         weight = np.ones(len(bags))
         weight[labels == 1] = max(1.0, 0.15 * len(bags) / max(1, labels.sum()))
         weight[len(positives) + len(negatives) :] = rules.background_weight
         weight[len(bags) - sum(" ".join(p) not in apart for p in hard) :] = 2.0  # the last of ``rest``
-        return fit(bags, labels, weight, rules)
+        return fit(bags, labels, weight, replace(rules, seed=rules.seed + salt))
 
     for _ in range(rules.rounds):
         for f in range(rules.folds):
@@ -310,7 +317,8 @@ def train(sample: list[tuple[str, float | None]], rules: ScreenRules) -> Screen:
         found = _harmful_phrases([pool], whole, -2.0)[0]
         doubtful = {" ".join(p) for p in found if suspicion(p) >= rules.least_odds}
         hard = first([hard, [p for p in found if suspicion(p) < rules.least_odds]], rules.max_phrases // 2)
-    return fitted(list(range(len(harmful))))
+    every = [fitted(list(range(len(harmful))), k) for k in range(rules.members)]
+    return Screen([m for s in every for m in s.members], rules)
 
 
 # -- over a corpus ---------------------------------------------------------------------------
@@ -383,15 +391,18 @@ def training_documents(docs: DataFrame, reviews: DataFrame, rules: ScreenRules)
 
 
 def store(screen: Screen, spark: SparkSession) -> DataFrame:
-    """A fitted model as a written table of one row, for ``load``."""
-    arrays = (screen.table.astype("<f4"), screen.weights.astype("<f4"), screen.bias.astype("<f4"))
-    return materialize(spark.createDataFrame([tuple(bytearray(a.tobytes()) for a in arrays)], "table binary, weights binary, bias binary"), "screen")
+    """A fitted model as a written table of a row per member, for ``load``."""
+    rows = [(k, *[bytearray(a.astype("<f4").tobytes()) for a in m]) for k, m in enumerate(screen.members)]
+    return materialize(spark.createDataFrame(rows, "member int, table binary, weights binary, bias binary").coalesce(1), "screen")
 
 
 def load(stored: DataFrame, rules: ScreenRules) -> Screen:
     """The model that ``store`` wrote, to be used with the rules it was fitted under."""
-    table, weights, bias = (np.frombuffer(b, "<f4") for b in stored.first())
-    return Screen(table.reshape(rules.buckets, rules.dimension), weights.reshape(rules.dimension, 2), bias, rules)
+    members = []
+    for row in sorted(stored.collect(), key=lambda r: r["member"]):  # ``members`` rows
+        table, weights, bias = (np.frombuffer(b, "<f4") for b in row[1:])
+        members.append((table.reshape(rules.buckets, rules.dimension), weights.reshape(rules.dimension, 2), bias))
+    return Screen(members, rules)
 
 
 _FITTED: dict[tuple, DataFrame] = {}
