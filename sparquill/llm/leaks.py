@@ -2,11 +2,12 @@
 
 A prefix-filtered set join over letters. A text counts as the run of its letters and digits, so
 that spacing, punctuation and divided words make no difference; a shingle is the letters of five
-successive item words, found at any place of a document. The corpus is read once, past a filter
-of fixed size, and leaves the places of possible shingles; how many stretches of documents hold a
-shingle gives its rarity. Of every item window only the rarest shingles, of which a true passage
-must hold one, are joined with these places; length and positional bounds discard those that
-cannot reach twelve words; the rest are verified word by word over a window of the item's size.
+successive item words, found at any place of a document. The corpus is read twice, past filters
+of fixed size. First, how many documents hold a shingle gives its rarity. Then the rarest
+shingles of every item window, of which a true passage must hold one, leave their places and the
+letters around them, which are joined with the items; length and positional bounds discard
+those that cannot reach twelve words; the rest are verified word by word over a window of the
+item's size.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparquill.operators.balance import lookup
@@ -146,6 +147,10 @@ class ShingleFilter:
         at = h >> np.uint64(64 - self.bits)
         return ((table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
 
+    def held(self, token: np.ndarray) -> np.ndarray:
+        """Which tokens may be an item's: both of a token's bits are set."""
+        return self.holds(self.tokens, token) & self.holds(self.tokens, token << np.uint64(32))
+
     def places(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places and tokens of the possible shingles among letters."""
         at, found = [], []
@@ -160,7 +165,7 @@ class ShingleFilter:
                 for n in lengths if len(some) else ():
                     s = some[some + n - e < len(h)]
                     token = _mixed(_mixed(h[s], h[s + n - e]), np.uint64(n))
-                    hit = self.holds(self.tokens, token)
+                    hit = self.held(token)
                     at.append(s[hit] + begin)
                     found.append(token[hit])
         if not at:
@@ -170,7 +175,7 @@ class ShingleFilter:
         return at[order], found[order]
 
 
-def _bit_table(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
+def _bit_table(hashes: DataFrame, column: Column, bits: int) -> np.ndarray:
     """A table of 2 ** bits bits with those of the column's hashes set, put together by 8 kB pieces."""
 
     def piece(t: pa.Table) -> pa.Table:
@@ -179,7 +184,7 @@ def _bit_table(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
         flags[at] = 1
         return pa.table({"piece": t["piece"].slice(0, 1), "bytes": pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())})
 
-    at = F.shiftrightunsigned(F.col(column), 64 - bits)
+    at = F.shiftrightunsigned(column, 64 - bits)
     rows = hashes.select(at.alias("at")).distinct().withColumn("piece", F.shiftright("at", 16)).groupBy("piece").applyInArrow(piece, "piece long, bytes binary").collect()  # 2 ** bits bits at most
     out = np.zeros(1 << (bits - 3), np.uint8)
     for r in rows:
@@ -188,10 +193,12 @@ def _bit_table(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
 
 
 def shingle_filter(shingles: DataFrame, rules: LeakRules) -> ShingleFilter:
-    """The filter of ``shingles`` (letters, head, token), with about 32 bits for each up to the bound."""
-    bits = min(rules.most_filter_bits, max(16, math.ceil(math.log2(32 * max(1, shingles.count())))))
+    """The filter of ``shingles`` (letters, head, token), with 512 bits for each up to the bound: of
+    other places, hardly one in a hundred documents passes."""
+    bits = min(rules.most_filter_bits, max(16, math.ceil(math.log2(512 * max(1, shingles.count())))))
     lengths = sorted(r[0] for r in shingles.select("letters").distinct().collect())  # as many as lengths in letters
-    return ShingleFilter(bits, _bit_table(shingles, "head", bits), _bit_table(shingles, "token", bits), tuple(lengths))
+    tokens = shingles.select(F.explode(F.array("token", F.shiftleft("token", 32))).alias("token"))  # two bits of each
+    return ShingleFilter(bits, _bit_table(shingles, F.col("head"), bits), _bit_table(tokens, F.col("token"), bits), tuple(lengths))
 
 
 def least_overlap(n: int, rules: LeakRules) -> int:
@@ -200,7 +207,7 @@ def least_overlap(n: int, rules: LeakRules) -> int:
 
 
 def prefix_places(rarity: np.ndarray, rules: LeakRules) -> np.ndarray:
-    """Of an item's shingles, those that candidates are made of; ``rarity``: how many stretches hold each.
+    """Of an item's shingles, those that candidates are made of; ``rarity``: how many documents hold each.
 
     Every passage that counts holds a part of ``min_words`` to just under twice as many words
     that counts. A change breaks at most ``shingle`` shingles, a divided or joined word none. So
@@ -302,6 +309,30 @@ def _near(at: np.ndarray, low: int, high: int, room: int) -> list[tuple[int, int
     return [(max(low, int(a) - room), min(high, int(b) + room)) for a, b in zip(first, last, strict=True)]
 
 
+def _some(batch: pa.RecordBatch, own: ShingleFilter) -> Iterator[tuple[int, Letters, np.ndarray, np.ndarray, np.ndarray]]:
+    """By 64 texts of a batch: the first one's row, their letters, and the text, place and token of
+    every possible shingle."""
+    for k in range(0, batch.num_rows, 64):
+        texts = Letters.of(batch.column(1).slice(k, 64).to_pylist())
+        at, token = own.places(texts.codes)
+        if len(at):
+            yield k, texts, np.searchsorted(texts.texts, at, "right") - 1, at, token
+
+
+def _rarity(docs: DataFrame, own: ShingleFilter) -> DataFrame:
+    """Written table (token, n): how many documents hold each possible shingle, counted before the shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(own)  # two tables of 2 ** most_filter_bits bits at most
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, text, _, token in _some(batch, shared.value):
+                once = np.unique(np.stack([text.astype(np.uint64), token]), axis=1)[1]
+                held, n = np.unique(once, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(held.view(np.int64)), pa.array(n)], ["token", "n"])
+
+    return materialize(docs.mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "rarity")
+
+
 _STRETCH = "letters string, edges binary, places array<int>, tokens array<long>"
 
 
@@ -311,13 +342,10 @@ def _search(docs: DataFrame, own: ShingleFilter, room: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(own)  # two tables of 2 ** most_filter_bits bits at most
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
         for batch in batches:
-            for k in range(0, batch.num_rows, 64):
-                texts = Letters.of(batch.column(1).slice(k, 64).to_pylist())
-                at, token = own.places(texts.codes)
+            for k, texts, text, at, token in _some(batch, shared.value):
                 rows: list[list] = [[], [], [], [], []]
-                for d in np.unique(np.searchsorted(texts.texts, at, "right") - 1) if len(at) else ():
+                for d in np.unique(text):
                     low, high = int(texts.texts[d]), int(texts.texts[d + 1])
                     i, j = np.searchsorted(at, (low, high))
                     for a, b in _near(at[i:j], low, high, room):
@@ -326,9 +354,8 @@ def _search(docs: DataFrame, own: ShingleFilter, room: int) -> DataFrame:
                         values = (k + int(d), texts.codes[a:b].tobytes().decode("utf-32-le", "surrogatepass"), np.packbits(edges).tobytes(), at[p:q] - a, token[p:q].view(np.int64))
                         for column, v in zip(rows, values, strict=True):
                             column.append(v)
-                if rows[0]:
-                    kinds = (pa.string(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[0])), *[pa.array(c, t) for c, t in zip(rows[1:], kinds, strict=True)]], ["doc_id", "letters", "edges", "places", "tokens"])
+                kinds = (pa.string(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[0])), *[pa.array(c, t) for c, t in zip(rows[1:], kinds, strict=True)]], ["doc_id", "letters", "edges", "places", "tokens"])
 
     found = docs.mapInArrow(look, f"doc_id {docs.schema[0].dataType.simpleString()}, {_STRETCH}")
     return materialize(found.withColumn("stretch", F.monotonically_increasing_id()), "stretches")
@@ -346,16 +373,15 @@ def _shingled(items: DataFrame, rules: LeakRules) -> DataFrame:
     return materialize(items.select("item_key", "words").mapInArrow(split, "item_key long, place int, letters int, head long, token long"), "item_shingles")
 
 
-def _prefixes(shingles: DataFrame, found: DataFrame, rules: LeakRules) -> DataFrame:
-    """Written table (token, item_key, place) of the shingles that candidates are made of."""
-    rarity = materialize(found.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")), "rarity")
-    ranked = lookup(shingles.select("token", "item_key", "place"), rarity, ["token"], "left")
+def _prefixes(shingles: DataFrame, rarity: DataFrame, rules: LeakRules) -> DataFrame:
+    """Those of ``shingles`` that candidates are made of, a written table."""
+    ranked, names = lookup(shingles, rarity, ["token"], "left"), shingles.columns
 
     def choose(t: pa.Table) -> pa.Table:
         t = t.sort_by("place")
-        return t.select(["token", "item_key", "place"]).take(pa.array(prefix_places(t["n"].fill_null(0).to_numpy(), rules)))
+        return t.select(names).take(pa.array(prefix_places(t["n"].fill_null(0).to_numpy(), rules)))
 
-    return materialize(ranked.groupBy("item_key").applyInArrow(choose, "token long, item_key long, place int"), "prefixes")
+    return materialize(ranked.groupBy("item_key").applyInArrow(choose, shingles.schema), "prefixes")
 
 
 def _verify(candidates: DataFrame, rules: LeakRules) -> DataFrame:
@@ -399,7 +425,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str,
     ``per_change`` of them changed, left out or put in; its first and last words are unchanged
     and begin and end where words of the document do. Words divided or joined by spacing count
     as unchanged. Null and empty texts hold nothing; items of fewer words are never found; rows
-    that share an id are all searched and give one row. The corpus is read once, whole; other
+    that share an id are all searched and give one row. The corpus is read twice, whole; other
     columns are not read.
     """
     rules = rules or LeakRules()
@@ -414,10 +440,10 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str,
     shingles = _shingled(known, rules)
     longest = known.agg(F.max(F.length(F.array_join("words", "")))).first()[0] or 0
     corpus = docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_text).cast("string"))
-    found = _search(corpus, shingle_filter(shingles, rules), longest + _SLACK)
-    prefixes = _prefixes(shingles, found, rules)
+    prefixes = _prefixes(shingles, _rarity(corpus, shingle_filter(shingles, rules)), rules)
+    found = _search(corpus, shingle_filter(prefixes, rules), longest + _SLACK)
     places = found.select("stretch", F.inline(F.arrays_zip(F.col("places").alias("at"), F.col("tokens").alias("token"))))
-    anchors = lookup(places, prefixes, ["token"], written=False).groupBy("stretch", "item_key").agg(F.collect_list(F.struct("at", "place")).alias("anchors"))  # within a stretch
+    anchors = lookup(places, prefixes.select("token", "item_key", "place"), ["token"], written=False).groupBy("stretch", "item_key").agg(F.collect_list(F.struct("at", "place")).alias("anchors"))  # within a stretch
     held = materialize(anchors.join(found.select("stretch", "doc_id", "letters", "edges"), "stretch"), "candidates")
     passages = _verify(lookup(held, known, ["item_key"]).select("doc_id", "item_id", "letters", "edges", "anchors", "words"), rules)
     best = passages.groupBy("doc_id", "item_id").agg(F.max(F.struct("words", (-F.col("changed")).alias("kept"))).alias("m"))
