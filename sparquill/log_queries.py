@@ -25,14 +25,6 @@ def _on_runs(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str
     return lambda spark, folder: f(A.matched_runs(table(spark, folder, LOG)))
 
 
-def _scored(log: DataFrame) -> DataFrame:
-    """Decisions with the deviation of the best hint's label from native as the prediction."""
-    runs = A.matched_runs(log).where(F.col("deviated"))
-    return runs.select(F.col("query_key").alias("query_id"), "native_ms", F.col("served_ms").alias("pick_ms"), F.log(F.col("best_ms") / F.col("native_ms")).alias("mean"), F.lit(0.25).alias("std"))
-
-
-_ZS, _GAINS = (0.0, 0.5, 1.0, 2.0), (0.0, 0.05, 0.2)
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "matched_runs": _on_runs(lambda r: r),
     "recent_runs": _on_log(lambda log: A.matched_runs(log, RECENT_RUNS)),
@@ -60,7 +52,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "noise_floor": _on_log(A.noise_floor),
     "noise_floor_warm": _on_log(lambda log: A.noise_floor(log, warm=True)),
     "hourly_readings": _on_log(windowed),
-    "calibration_sweep": _on_log(lambda log: A.gate_sweep(_scored(log), _ZS, _GAINS)),
 }
 
 _READINGS = r"""
@@ -86,7 +77,7 @@ def _outcome(part: float = 0.05) -> str:
 
 
 _TOTALS = """count(*) AS n_runs, round(sum(native_ms), 3) AS native_ms, round(sum(served_ms), 3) AS served_ms, round(sum(best_ms), 3) AS best_ms,
-  round((sum(native_ms) - sum(served_ms)) / sum(native_ms) * 100, 4) AS improvement_pct, round(sum(native_ms) - sum(best_ms), 3) AS headroom_ms,
+  round(avg(native_ms), 4) AS avg_native_ms, round(avg(served_ms), 4) AS avg_served_ms, round((sum(native_ms) - sum(served_ms)) / sum(native_ms) * 100, 4) AS improvement_pct, round(sum(native_ms) - sum(best_ms), 3) AS headroom_ms,
   round(CASE WHEN sum(native_ms) - sum(best_ms) > 0 THEN (sum(native_ms) - sum(served_ms)) / (sum(native_ms) - sum(best_ms)) * 100 END, 4) AS captured_pct,
   count(*) FILTER (WHERE deviated) AS n_deviated, count(*) FILTER (WHERE NOT deviated) AS n_kept_native"""
 
@@ -109,6 +100,7 @@ _POINTS = f"""WITH {_READINGS}, p AS (SELECT id, total_cost, ms AS latency_ms, c
 _NAMED = f"WITH {_READINGS}, t AS (SELECT * FROM v WHERE query_id IS NOT NULL AND query_id NOT LIKE 'adhoc:%')"
 _LABELS = f"{_NAMED}, l AS (SELECT query_id, hint, round(median(ms), 6) AS median_ms, count(*) AS n_reps, bool_or(is_baseline) AS is_baseline FROM t GROUP BY query_id, hint)"
 _SPREAD = f"{_NAMED}, sp AS (SELECT query_id, hint, count(*) AS n_reps, round((max(ms) - min(ms)) / median(ms), 6) AS spread FROM t GROUP BY query_id, hint HAVING count(*) >= 3)"
+READINGS_SQL, RUNS_SQL, LABELS_SQL = _READINGS, _RUNS, _LABELS
 _CUM = "OVER (ORDER BY created_at, query_key ROWS UNBOUNDED PRECEDING)"
 
 ORACLES = {
@@ -149,10 +141,4 @@ ORACLES = {
         sp AS (SELECT round((max(ms) - min(ms)) / median(ms), 6) AS spread FROM k WHERE NOT (nth = 1 AND c > 3) GROUP BY query_id, hint HAVING count(*) >= 3)
         SELECT count(*) AS n_groups, round(median(spread), 6) AS recommended_floor, max(spread) AS max_spread FROM sp""",
     "hourly_readings": f"""WITH {_READINGS} SELECT date_trunc('hour', created_at) AS window_start, selector, count(*) AS n, round(avg(ms), 6) AS mean_ms, min(ms) AS min_ms, max(ms) AS max_ms FROM v GROUP BY 1, 2""",
-    "calibration_sweep": f"""{_RUNS}, s AS (SELECT native_ms, served_ms AS pick, exp(ln(best_ms / native_ms) + z * 0.25) < 1 - gain AS goes, z, gain
-        FROM runs, (SELECT unnest({list(_ZS)})::DOUBLE AS z), (SELECT unnest({list(_GAINS)})::DOUBLE AS gain) WHERE deviated)
-        SELECT z, gain AS min_gain, round(avg(goes::INT), 6) AS deviation_rate,
-          round(CASE WHEN count(*) FILTER (WHERE goes) > 0 THEN count(*) FILTER (WHERE goes AND pick > native_ms) / count(*) FILTER (WHERE goes) END, 6) AS regression_rate,
-          round(sum(native_ms - CASE WHEN goes THEN pick ELSE native_ms END), 3) AS net_ms, round(sum(native_ms - CASE WHEN goes THEN pick ELSE native_ms END) / sum(native_ms) * 100, 4) AS net_pct
-        FROM s GROUP BY z, gain""",
 }

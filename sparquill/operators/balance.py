@@ -25,7 +25,7 @@ HEAVY_PART = 0.25
 #: a table with fewer is counted whole.
 SAMPLED_PER_TASK = 2000
 #: Rows up to which a looked-up table is broadcast.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 50_000
 
 _BIN, _SHARD, _TASK, _OWN = "__bin", "__shard", "__task", "__own_task"
 

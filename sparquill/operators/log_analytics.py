@@ -32,7 +32,10 @@ def readings_of(log: DataFrame) -> DataFrame:
 
 
 def _newest(runs: DataFrame, limit: int | None) -> DataFrame:
-    return runs if limit is None else runs.orderBy(F.desc("created_at"), F.desc("query_key")).limit(limit)
+    """The newest ``limit`` runs, oldest first; all of them, in no order, without a limit."""
+    if limit is None:
+        return runs
+    return runs.orderBy(F.desc("created_at"), F.desc("query_key")).limit(limit).orderBy("created_at", "query_key")
 
 
 def matched_runs(log: DataFrame, limit: int | None = None) -> DataFrame:
@@ -69,7 +72,7 @@ def _totals() -> list[Column]:
     room = n - b
     return [
         F.count(F.lit(1)).alias("n_runs"), F.round(n, 3).alias("native_ms"), F.round(s, 3).alias("served_ms"), F.round(b, 3).alias("best_ms"),
-        F.round((n - s) / n * 100, 4).alias("improvement_pct"), F.round(room, 3).alias("headroom_ms"),
+        F.round(F.avg("native_ms"), 4).alias("avg_native_ms"), F.round(F.avg("served_ms"), 4).alias("avg_served_ms"), F.round((n - s) / n * 100, 4).alias("improvement_pct"), F.round(room, 3).alias("headroom_ms"),
         F.round(F.when(room > 0, (n - s) / room * 100), 4).alias("captured_pct"),
         F.count_if("deviated").alias("n_deviated"), F.count_if(~F.col("deviated")).alias("n_kept_native"),
     ]
@@ -88,6 +91,35 @@ def by_query(runs: DataFrame) -> DataFrame:
     )
 
 
+def regressions_first(runs: DataFrame) -> DataFrame:
+    """``by_query``, the largest loss first, for reports."""
+    return by_query(runs).orderBy(F.desc("delta_ms"), "query_key")
+
+
+def _with_missed(rows: DataFrame) -> DataFrame:
+    """Per run: the native time, whether another plan was served, and the fastest other plan."""
+    other = ~F.col("is_baseline")
+    fastest = F.min(F.when(other, F.struct("ms", "id", "hint")))
+    runs = rows.groupBy("query_key", "created_at").agg(F.min(F.when(F.col("is_baseline"), F.col("ms"))).alias("native_ms"), F.bool_or(F.col("is_chosen") & other).alias("left_native"), fastest.alias("f"))
+    return runs.withColumn("is_missed", ~F.col("left_native") & F.coalesce(F.col("f.ms") < F.col("native_ms"), F.lit(False)))
+
+
+def missed_plans(log: DataFrame) -> DataFrame:
+    """Runs that kept the native plan though a faster one was measured, with that plan."""
+    runs = _with_missed(readings_of(log)).where("is_missed")
+    return runs.select("query_key", "created_at", "native_ms", F.col("f.hint").alias("missed_hint"), F.col("f.ms").alias("missed_ms"))
+
+
+def plan_roles(log: DataFrame) -> DataFrame:
+    """(id, role) of every reading: served, native, vetoed (a disabled operator), missed or candidate."""
+    rows = materialize(readings_of(log), "readings")
+    runs = _with_missed(rows).select(F.col("query_key").alias("_k"), F.col("created_at").alias("_t"), "is_missed", F.col("f.id").alias("fastest"))
+    both = rows.join(runs, (F.col("query_key") == F.col("_k")) & F.col("created_at").eqNullSafe(F.col("_t")))
+    missed = F.col("is_missed") & (F.col("id") == F.col("fastest"))
+    role = F.when(F.col("is_chosen"), "served").when(F.col("is_baseline"), "native").when(F.col("total_cost") >= DISABLED_COST, "vetoed").when(missed, "missed").otherwise("candidate")
+    return both.select("id", role.alias("role"))
+
+
 def by_day(runs: DataFrame) -> DataFrame:
     """Totals per calendar day."""
     return runs.groupBy(F.to_date("created_at").alias("day")).agg(

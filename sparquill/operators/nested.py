@@ -186,7 +186,8 @@ class StructuralIndex:
         return at[ok], span[ok]
 
     def nodes(self, name: bytes) -> dict[str, np.ndarray]:
-        """Objects with the key ``name``: row, no, parent, depth, span, numbered in text order."""
+        """Objects with the key ``name``: row, no, parent, depth, span and the number of those
+        inside, numbered in text order."""
         _, span = self.keys(name)
         span = np.unique(span)
         span = span[np.argsort(self.span_start[span], kind="stable")]
@@ -203,7 +204,8 @@ class StructuralIndex:
         keyed = (row[order] * top + depth[order]) * width + start[order]
         above = np.searchsorted(keyed, (row * top + depth - 1) * width + start) - 1
         parent = np.where(depth > 0, no[order[np.maximum(above, 0)]], -1) if n else no
-        return {"row": row, "no": no, "parent": parent, "depth": depth, "span": span}
+        inside = np.searchsorted(start, end) - np.arange(n) - 1
+        return {"row": row, "no": no, "parent": parent, "depth": depth, "span": span, "inside": inside}
 
     def values(self, name: bytes, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """[begin, end) of the value of key ``name`` in each of ``spans``; begin is -1 without one.
@@ -290,8 +292,8 @@ def flatten_nodes(df: DataFrame, id_col: str, json_col: str, node_key: str, attr
     """One row per object that has the key ``node_key``, linked to its parent and its record.
 
     Columns: ``id`` (of ``id_col``), ``node_no`` (from 0 in the order in which objects begin),
-    ``parent_no`` (nearest enclosing node, -1 without one), ``depth``, and for each of
-    ``attributes`` a string column ``attr_<i>``: the node's scalar of that key, null if absent
+    ``parent_no`` (nearest enclosing node, -1 without one), ``depth``, ``inside`` (how many nodes
+    follow that are inside this one), and for each of ``attributes`` a string column ``attr_<i>``: the node's scalar of that key, null if absent
     or not scalar. A JSON text inside a JSON string counts as the text it holds. Null, empty
     and incomplete texts, and scalars, have no nodes. The texts are read whole.
     """
@@ -307,11 +309,11 @@ def flatten_nodes(df: DataFrame, id_col: str, json_col: str, node_key: str, attr
                     continue
                 out = [
                     ids.take(pa.array(rows[found["row"]])),
-                    *[pa.array(found[c].astype(np.int32)) for c in ("no", "parent", "depth")],
+                    *[pa.array(found[c].astype(np.int32)) for c in ("no", "parent", "depth", "inside")],
                     *[_slices(index.data, *index.values(a, found["span"])) for a in names],
                 ]
-                yield pa.RecordBatch.from_arrays(out, ["id", "node_no", "parent_no", "depth", *[f"attr_{i}" for i in range(len(names))]])
+                yield pa.RecordBatch.from_arrays(out, ["id", "node_no", "parent_no", "depth", "inside", *[f"attr_{i}" for i in range(len(names))]])
 
     extra = "".join(f", attr_{i} string" for i in range(len(names)))
     texts = df.select(F.col(id_col).alias("id"), F.col(json_col).alias("text"))
-    return texts.mapInArrow(expand, f"id {id_type}, node_no int, parent_no int, depth int{extra}")
+    return texts.mapInArrow(expand, f"id {id_type}, node_no int, parent_no int, depth int, inside int{extra}")

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections import deque
 from dataclasses import dataclass, field
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,23 +14,46 @@ TEXT = (T.StringType, T.CharType, T.VarcharType)
 TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
+def database_name(folder: str) -> str:
+    """The database that a folder's tables are registered in."""
+    return "sq_" + hashlib.md5(folder.encode()).hexdigest()[:12]
+
+
 def register_folder(spark: SparkSession, folder: str, tables: tuple[str, ...], analyze: bool = True) -> str:
     """A database of external tables over the folder's parquet files; its name.
 
     With ``analyze``, row counts and column statistics are computed for tables that have none,
-    so that the cost-based optimizer has estimates. Idempotent. The log is no table of it.
+    so that the cost-based optimizer has estimates: a full scan of each, once. Idempotent. The
+    log is no table of it.
     """
-    database = "sq_" + hashlib.md5(folder.encode()).hexdigest()[:12]
+    database = database_name(folder)
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
     for name in tables:
         full = f"{database}.{name}"
         if not spark.catalog.tableExists(full):
             spark.sql(f"CREATE TABLE {full} USING parquet LOCATION '{folder}/{name}.parquet'")
-        if analyze and row_count(spark, full) is None:
-            spark.sql(f"ANALYZE TABLE {full} COMPUTE STATISTICS FOR ALL COLUMNS")
+    if analyze:
+        refresh_statistics(spark, database)
     return database
 
 
+def table_names(spark: SparkSession, database: str) -> list[str]:
+    """The tables of a database, without the session's temporary views."""
+    return [t.name for t in spark.catalog.listTables(database) if not t.isTemporary]
+
+
+def refresh_statistics(spark: SparkSession, database: str, only_missing: bool = True) -> list[str]:
+    """Compute row counts and column statistics, of all tables or of those that have none; their names."""
+    done = []
+    for name in table_names(spark, database):
+        full = f"{database}.{name}"
+        if not only_missing or row_count(spark, full) is None:
+            spark.catalog.refreshTable(full)
+            spark.sql(f"ANALYZE TABLE {full} COMPUTE STATISTICS FOR ALL COLUMNS")
+            done.append(name)
+    return done
+
+
 def row_count(spark: SparkSession, table: str) -> int | None:
     """Rows of a table by its statistics; None without."""
     found = spark.sql(f"DESCRIBE EXTENDED {table}").where("col_name = 'Statistics'").select("data_type").collect()
@@ -43,9 +64,9 @@ def row_count(spark: SparkSession, table: str) -> int | None:
 def cardinalities(spark: SparkSession, database: str) -> dict[str, int]:
     """Rows of each table, at least 1; counted where there are no statistics."""
     out = {}
-    for t in spark.catalog.listTables(database):
-        rows = row_count(spark, f"{database}.{t.name}")
-        out[t.name] = max(1, spark.table(f"{database}.{t.name}").count() if rows is None else rows)
+    for name in table_names(spark, database):
+        rows = row_count(spark, f"{database}.{name}")
+        out[name] = max(1, spark.table(f"{database}.{name}").count() if rows is None else rows)
     return out
 
 
@@ -82,21 +103,21 @@ class SchemaGraph:
         return None
 
     def connected_subsets(self, size: int, limit: int = 50) -> list[tuple[str, ...]]:
-        """Up to ``limit`` connected sets of tables, grown from the largest table on."""
-        found: dict[frozenset, tuple[str, ...]] = {}
-        queue = deque((t,) for t in sorted(self.columns, key=lambda t: (-self.rows.get(t, 0), t)))
+        """Up to ``limit`` connected sets of tables, in depth first from the largest table on."""
+        found: list[tuple[str, ...]] = []
         seen: set[frozenset] = set()
-        while queue and len(found) < limit:
-            part = queue.popleft()
-            if len(part) == size:
-                found.setdefault(frozenset(part), part)
+        waiting = [(t,) for t in sorted(self.columns, key=lambda t: (self.rows.get(t, 0), t))]  # the last goes first
+        while waiting and len(found) < limit:
+            part = waiting.pop()
+            if frozenset(part) in seen:
                 continue
-            for n in sorted({n for t in part for n in self.neighbours(t)} - set(part)):
-                grown = frozenset((*part, n))
-                if grown not in seen:
-                    seen.add(grown)
-                    queue.append((*part, n))
-        return list(found.values())
+            seen.add(frozenset(part))
+            if len(part) == size:
+                found.append(part)
+            else:
+                near = sorted({n for t in part for n in self.neighbours(t)} - set(part), reverse=True)
+                waiting += [(*part, n) for n in near]
+        return found
 
     def summary(self) -> dict:
         """Counts and the ten largest tables."""
@@ -145,7 +166,7 @@ def infer_keys(columns: dict[str, dict[str, T.DataType]], known: list[ForeignKey
 
 def discover(spark: SparkSession, database: str, declared: list[ForeignKey] | None = None) -> SchemaGraph:
     """The graph of a database; edges are inferred only where none are declared."""
-    columns = {t.name: {f.name: f.dataType for f in spark.table(f"{database}.{t.name}").schema} for t in spark.catalog.listTables(database)}
+    columns = {t: {f.name: f.dataType for f in spark.table(f"{database}.{t}").schema} for t in table_names(spark, database)}
     known = [k for k in declared or [] if k.table in columns and k.target in columns]
     return SchemaGraph(columns, cardinalities(spark, database), known or infer_keys(columns))
 
@@ -160,13 +181,20 @@ def unclustered_keys(spark: SparkSession, database: str, graph: SchemaGraph) ->
     return out
 
 
+def without_layout(edges: DataFrame, layouts: DataFrame) -> DataFrame:
+    """Edges whose column does not lead the layout (src_table, columns) of its table: rows of one
+    value are then spread over the table."""
+    leads = layouts.select("src_table", F.get("columns", 0).alias("src_column"))
+    return edges.join(leads, ["src_table", "src_column"], "left_anti")
+
+
+def laid_out_by(layouts: DataFrame, column: str) -> DataFrame:
+    """The layouts that hold a column at any place."""
+    return layouts.where(F.array_contains("columns", column))
+
+
 def orphan_rows(spark: SparkSession, folder: str, key: ForeignKey) -> DataFrame:
     """Rows of an edge's column whose value the target lacks: evidence against the edge."""
     left = spark.read.parquet(f"{folder}/{key.table}.parquet").select(F.col(key.column).alias("value")).where(F.col("value").isNotNull())
     right = spark.read.parquet(f"{folder}/{key.target}.parquet").select(F.col(key.target_column).alias("value"))
     return left.join(right, "value", "left_anti").agg(F.count(F.lit(1)).alias("n_orphans"))
-
-
-def tables_in(folder: str, wanted: tuple[str, ...]) -> tuple[str, ...]:
-    """Those of ``wanted`` that a local folder holds."""
-    return tuple(t for t in wanted if Path(f"{folder}/{t}.parquet").exists())

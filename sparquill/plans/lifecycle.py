@@ -1,6 +1,7 @@
 """What outlives a session: settings, profiles, saved queries, model versions, training jobs.
 
-All files are small JSON on the driver; a damaged one counts as absent.
+Settings, profiles and saved queries are small JSON files of the driver, a damaged one counts as
+absent; model versions lie on a shared file system.
 """
 
 from __future__ import annotations
@@ -9,7 +10,6 @@ import datetime as dt
 import json
 import os
 import re
-import shutil
 import threading
 from collections import deque
 from collections.abc import Callable
@@ -17,6 +17,8 @@ from dataclasses import dataclass
 from hashlib import md5
 from pathlib import Path
 
+from sparquill.plans.files import Files
+
 
 def read_json(path: Path, default):
     """The file's value, or ``default`` for a missing or damaged file or another type."""
@@ -68,6 +70,8 @@ class Setting:
 
 
 SETTINGS = (
+    Setting("risk_lambda", float, 1.0, 0.0, 10.0, env="RISK_LAMBDA"),
+    Setting("cache_size", int, 512, 0, 1_000_000, env="CACHE_SIZE"),
     Setting("policy", str, "greedy", options=("greedy", "thompson", "risk_averse", "pairwise_rank"), env="POLICY"),
     Setting("confidence_z", float, 1.0, 0.0, 5.0, env="CONFIDENCE_Z"),
     Setting("min_relative_gain", float, 0.05, 0.0, 0.9, env="MIN_RELATIVE_GAIN"),
@@ -99,6 +103,11 @@ class Settings:
                         continue
         return out
 
+    def explicit(self) -> set[str]:
+        """Names of the settings that the file or the environment gives."""
+        held = read_json(self.path, {})
+        return {n for n, s in self.declared.items() if n in held or (s.env and s.env in os.environ)}
+
     def update(self, changes: dict) -> dict:
         """All of the changes or, with a ``ValueError``, none."""
         if unknown := set(changes) - set(self.declared):
@@ -149,6 +158,9 @@ class Profiles:
         write_json(self.path, held)
         return gone
 
+    def address(self, name: str) -> str:
+        return self._held()["profiles"][name]
+
     def activate(self, name: str) -> str:
         if not self.may_switch:
             raise PermissionError("switching is disabled")
@@ -190,44 +202,51 @@ class SavedQueries:
 
 
 class ModelStore:
-    """Versions of models in folders below ``root``; one is current, named by a pointer file."""
+    """Versions of models in folders below ``root``, on a file system that executors share; one is
+    current, named by a pointer file."""
 
-    def __init__(self, root: str | Path, clock: Callable[[], dt.datetime] = lambda: dt.datetime.now(dt.UTC)):
-        self.root, self.clock = Path(root), clock
+    def __init__(self, files: Files, root: str, clock: Callable[[], dt.datetime] = lambda: dt.datetime.now(dt.UTC)):
+        self.files, self.root, self.clock = files, str(root).rstrip("/"), clock
 
-    def _registry(self) -> dict:
-        return read_json(self.root / "registry.json", {})
+    def path(self, version: str) -> str:
+        return f"{self.root}/{version}"
+
+    def save(self, write: Callable[[str], None], info: dict | None = None, version: str | None = None) -> str:
+        """Write a version to its folder; a given version is replaced, a made one never clashes.
 
-    def save(self, write: Callable[[Path], None], info: dict | None = None, version: str | None = None) -> str:
-        """Write a version to its folder; a given version is replaced, a made one never clashes."""
+        A version counts once it is in the registry, which is written last.
+        """
         if version is None:
             base = self.clock().strftime("%Y%m%dT%H%M%SZ")
             version, n = base, 2
-            while (self.root / version).exists():
+            while self.files.exists(self.path(version)):
                 version, n = f"{base}-{n}", n + 1
-        part = self.root / f".{version}.part"
-        shutil.rmtree(part, ignore_errors=True)
-        part.mkdir(parents=True)
-        write(part)
-        shutil.rmtree(self.root / version, ignore_errors=True)
-        os.replace(part, self.root / version)
-        write_json(self.root / "registry.json", self._registry() | {version: info or {}})
+        self.files.delete(self.path(version))
+        write(self.path(version))
+        self.files.write_json(f"{self.root}/registry.json", self._registry() | {version: info or {}})
         return version
 
+    def _registry(self) -> dict:
+        return self.files.read_json(f"{self.root}/registry.json", {})
+
     def versions(self) -> list[dict]:
         """Newest first."""
-        current = self.current()
+        current, held, there = self.current(), self._registry(), set(self.files.names(self.root))
+        return [{"version": v, "current": v == current, **held[v]} for v in sorted(held, reverse=True) if v in there]
+
+    def note(self, version: str, facts: dict) -> None:
+        """Add facts to what the registry says of a version."""
         held = self._registry()
-        return [{"version": v, "current": v == current, **held[v]} for v in sorted(held, reverse=True) if (self.root / v).exists()]
+        self.files.write_json(f"{self.root}/registry.json", held | {version: held[version] | facts})
 
     def current(self) -> str | None:
-        return read_json(self.root / "current.json", {}).get("version")
+        return self.files.read_json(f"{self.root}/current.json", {}).get("version")
 
-    def promote(self, version: str) -> Path:
-        if not (self.root / version).is_dir():
+    def promote(self, version: str) -> str:
+        if version not in self._registry() or not self.files.exists(self.path(version)):
             raise KeyError(version)
-        write_json(self.root / "current.json", {"version": version})
-        return self.root / version
+        self.files.write_json(f"{self.root}/current.json", {"version": version})
+        return self.path(version)
 
     def rollback(self) -> str | None:
         """To the newest version older than the current one; None without one."""
@@ -249,17 +268,19 @@ def should_promote(champion_ms: float | None, challenger_ms: float | None, least
     return gain > least_gain, f"gain {gain:.1%}"
 
 
-def retrain(store: ModelStore, pending: int, make: Callable[[Path], None], score: Callable[[Path], float | None], force: bool = False, least_rows: int = 200) -> dict:
-    """Train a challenger if there are enough new rows, and promote it if it serves better."""
+def retrain(store: ModelStore, pending: int, make: Callable[[str], None], score: Callable[[str], float | None], force: bool = False, least_rows: int = 200) -> dict:
+    """Train a challenger if there are enough new rows, and promote it if it serves better.
+
+    The first model needs no rival; a challenger that cannot be scored is rejected.
+    """
     if pending < least_rows and not force:
         return {"status": "skipped", "reason": f"{pending} of {least_rows} new rows"}
     champion = store.current()
     version = store.save(make, {"pending_rows": pending})
-    old = score(store.root / champion) if champion else None
-    good, why = should_promote(old if champion else None, score(store.root / version))
-    if good or champion is None:
+    good, why = (True, "first model") if champion is None else should_promote(score(store.path(champion)), score(store.path(version)))
+    if good:
         store.promote(version)
-    return {"status": "promoted" if good or champion is None else "rejected", "version": version, "reason": why if champion else "first model"}
+    return {"status": "promoted" if good else "rejected", "version": version, "reason": why}
 
 
 class TrainingJob:

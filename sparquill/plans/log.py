@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import datetime as dt
 import json
-from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparquill.operators.nested import flatten_nodes
 from sparquill.plans.extract import Plan
+from sparquill.sources.tables import widened
+from sparquill.storage import materialize
 
 SCHEMA = "id long, query_id string, sql_text string, hint string, is_baseline boolean, selector_used string, raw_plan string, total_cost double, actual_total_time_ms double, planning_time_ms double, is_chosen boolean, created_at timestamp"
 
@@ -53,6 +55,21 @@ class ExecutionLog:
             return self.spark.createDataFrame([], SCHEMA + ", day date")
 
 
-def plain(plan: Plan) -> dict:
-    """A plan as a dictionary without its DataFrame, for reports."""
-    return {"label": plan.label, "sql": plan.sql, "total_cost": plan.total_cost, "planning_ms": plan.planning_ms, "actual_ms": plan.actual_ms, "nodes": [asdict(n) for n in plan.nodes]}
+_TEXTS = ("Node Type", "Relation Name", "Join Type", "Filter", "Recheck Cond")
+_NUMBERS = ("Plan Rows", "Plan Width", "Total Cost", "Startup Cost", "Actual Rows", "Rows Removed by Filter")
+
+
+def logged_nodes(log: DataFrame) -> DataFrame:
+    """The plan nodes of an execution log, typed and written once, so each text is indexed once."""
+    raw = flatten_nodes(widened(log.select("id", "raw_plan")), "id", "raw_plan", "Node Type", (*_TEXTS, *_NUMBERS))
+    value = {a: F.col(f"attr_{i}") for i, a in enumerate((*_TEXTS, *_NUMBERS))}
+    number = {a: value[a].try_cast("double") for a in _NUMBERS}
+    # strings come with their escapes
+    text = {a: F.when(value[a].contains("\\"), F.get_json_object(F.concat(F.lit('{"a":"'), value[a], F.lit('"}')), "$.a")).otherwise(value[a]) for a in _TEXTS}
+    typed = raw.select(
+        F.col("id").alias("exec_id"), F.col("node_no").alias("node_id"), F.col("parent_no").alias("parent_id"), "depth", "inside", text["Node Type"].alias("node_type"), text["Relation Name"].alias("relation"),
+        text["Join Type"].alias("join_type"), text["Filter"].alias("filter"), text["Recheck Cond"].alias("recheck"), number["Plan Rows"].alias("est_rows"), number["Plan Width"].alias("width"),
+        (number["Plan Rows"] * number["Plan Width"]).alias("est_bytes"), number["Total Cost"].alias("est_cost"), number["Startup Cost"].alias("startup_cost"), number["Actual Rows"].alias("actual_rows"),
+        number["Rows Removed by Filter"].alias("rows_removed"),
+    )
+    return materialize(typed, "nodes")

@@ -28,6 +28,38 @@ def join_queries(database: str) -> dict[str, str]:
         "spj_7way": f"SELECT l.l_orderkey, l.l_linenumber, p.p_name, s.s_name {lo} JOIN {t}part p ON l.l_partkey = p.p_partkey JOIN {t}supplier s ON l.l_suppkey = s.s_suppkey JOIN {t}nation n ON s.s_nationkey = n.n_nationkey JOIN {t}region r ON n.n_regionkey = r.r_regionkey WHERE n.n_name = 'NATION_7' AND r.r_name = 'ASIA' AND p.p_brand = 'Brand#2'",
         "spj_self_join": f"SELECT a.s_name AS first_name, b.s_name AS second_name FROM {t}supplier a JOIN {t}supplier b ON a.s_nationkey = b.s_nationkey JOIN {t}nation n ON a.s_nationkey = n.n_nationkey WHERE n.n_name = 'NATION_7' AND a.s_acctbal > b.s_acctbal",
         "spj_interval": f"SELECT o.o_orderkey, c.c_name FROM {t}orders o JOIN {t}customer c ON o.o_custkey = c.c_custkey WHERE o.o_orderdate > TIMESTAMP '1998-01-01 00:00:00' - INTERVAL '30' DAY AND c.c_acctbal IS NOT NULL AND c.c_mktsegment <> 'BUILDING'",
+    } | _shop_queries(t) | _correlated_queries(t)
+
+
+def _shop_queries(t: str) -> dict[str, str]:
+    """Queries over a shop's products and suppliers: brand goes with category and price band."""
+    pps = f"FROM {t}products p JOIN {t}product_suppliers ps ON ps.product_id = p.id"
+    three = f"{pps} JOIN {t}suppliers s ON ps.supplier_id = s.id"
+    return {
+        "spj_shop_2way_brand_category": f"SELECT p.id, p.name, ps.lead_days {pps} WHERE p.brand = 'Orrivane' AND p.category = 'gadgets'",
+        "spj_shop_2way_brand_band": f"SELECT p.id, ps.supplier_id {pps} WHERE p.brand = 'Cobalite' AND p.price_band = 'low'",
+        "spj_shop_2way_band_price": f"SELECT p.id, ps.id AS link_id {pps} WHERE p.price_band = 'upper' AND p.price > 500.0",
+        "spj_shop_3way_everything": f"SELECT p.name, s.name AS supplier_name {three} WHERE p.brand = 'Orrivane' AND p.category = 'gadgets' AND p.price_band = 'upper' AND s.rating >= 3",
+        "spj_shop_3way_in_list": f"SELECT p.id, s.country {three} WHERE p.category IN ('gadgets', 'tools') AND s.rating BETWEEN 2 AND 4 AND ps.lead_days > 0",
+        "spj_shop_2way_lead_control": f"SELECT ps.id, s.name FROM {t}product_suppliers ps JOIN {t}suppliers s ON ps.supplier_id = s.id WHERE ps.lead_days < 10",
+        "spj_shop_3way_control": f"SELECT p.id, s.id AS supplier_no {three} WHERE ps.lead_days >= 20",
+    }
+
+
+def _correlated_queries(t: str) -> dict[str, str]:
+    """Conditions that go together or exclude each other over the star schema, and controls."""
+    oc = f"FROM {t}orders o JOIN {t}customer c ON o.o_custkey = c.c_custkey"
+    lo = f"FROM {t}lineitem l JOIN {t}orders o ON l.l_orderkey = o.o_orderkey"
+    ln = f"{lo} JOIN {t}customer c ON o.o_custkey = c.c_custkey JOIN {t}nation n ON c.c_nationkey = n.n_nationkey"
+    return {
+        "spj_2way_price_quantity": f"SELECT l.l_orderkey, l.l_linenumber, p.p_name FROM {t}lineitem l JOIN {t}part p ON l.l_partkey = p.p_partkey WHERE l.l_extendedprice > 60000.0 AND l.l_quantity > 40.0",
+        "spj_2way_flag_status": f"SELECT l.l_orderkey, o.o_orderpriority {lo} WHERE l.l_returnflag = 'A' AND l.l_linestatus = 'F' AND o.o_orderstatus = 'F'",
+        "spj_2way_date_status": f"SELECT o.o_orderkey, c.c_name {oc} WHERE o.o_orderdate < TIMESTAMP '1995-01-01 00:00:00' AND o.o_orderstatus = 'F' AND c.c_acctbal > 5000.0",
+        "spj_3way_ship_order_dates": f"SELECT l.l_orderkey, c.c_mktsegment {lo} JOIN {t}customer c ON o.o_custkey = c.c_custkey WHERE l.l_shipdate > o.o_orderdate AND o.o_orderdate >= TIMESTAMP '1998-01-01 00:00:00' AND c.c_mktsegment = 'MACHINERY'",
+        "spj_4way_name_key": f"SELECT l.l_orderkey, n.n_name {ln} WHERE n.n_name = 'NATION_3' AND n.n_nationkey = 3 AND l.l_discount >= 0.05",
+        "spj_4way_contradiction": f"SELECT l.l_orderkey, c.c_name {ln} WHERE n.n_name = 'NATION_3' AND n.n_nationkey = 4",
+        "spj_5way_two_nations": f"SELECT l.l_orderkey, s.s_name {ln} JOIN {t}supplier s ON l.l_suppkey = s.s_suppkey WHERE s.s_nationkey = c.c_nationkey AND n.n_name <> 'NATION_1' AND s.s_acctbal > 0.0",
+        "spj_2way_control_wide": f"SELECT o.o_orderkey, c.c_custkey {oc} WHERE o.o_totalprice < 20000.0",
     }
 
 

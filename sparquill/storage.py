@@ -37,19 +37,20 @@ def scratch_root(spark: SparkSession) -> str:
     return "file://" + _LOCAL_SCRATCH[app]
 
 
-def _application_folder(spark: SparkSession) -> str:
+def application_folder(spark: SparkSession) -> str:
+    """Where this application's intermediate tables lie."""
     return f"{scratch_root(spark)}/sparquill-{spark.sparkContext.applicationId}"
 
 
 def drop_scratch(spark: SparkSession) -> None:
     """Delete this application's intermediate tables; DataFrames that still read them fail."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_application_folder(spark))
+    path = spark._jvm.org.apache.hadoop.fs.Path(application_folder(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as parquet in the shared folder and return a scan of it."""
     spark = df.sparkSession
-    path = f"{_application_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{application_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

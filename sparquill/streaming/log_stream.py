@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,8 +31,12 @@ def windowed(log: DataFrame, window: str = "1 hour", late: str = "2 hours") -> D
     return rows.groupBy(w.alias("w"), "selector").agg(F.count(F.lit(1)).alias("n"), F.avg("ms").alias("mean_ms"), F.min("ms").alias("min_ms"), F.max("ms").alias("max_ms")).select(F.col("w.start").alias("window_start"), "selector", "n", F.round("mean_ms", 6).alias("mean_ms"), "min_ms", "max_ms")
 
 
-def retrain_on_arrival(stream: DataFrame, checkpoint: str, train: Callable[[int], None], least_rows: int = 200):
-    """A running query that calls ``train(new rows)`` whenever ``least_rows`` trainable rows came."""
+def retrain_on_arrival(stream: DataFrame, checkpoint: str, train: Callable[[int], None], least_rows: int = 200, every: str | None = None):
+    """A running query that calls ``train(new rows)`` whenever ``least_rows`` trainable rows came.
+
+    ``every``: how often to look, as "10 minutes", until the query is stopped; without it what
+    is there is read once. A training that fails is left for the next rows, not repeated.
+    """
     held = {"n": 0}
 
     def batch(df: DataFrame, _: int) -> None:
@@ -39,6 +44,10 @@ def retrain_on_arrival(stream: DataFrame, checkpoint: str, train: Callable[[int]
         held["n"] += named.count()
         if held["n"] >= least_rows:
             n, held["n"] = held["n"], 0
-            train(n)
+            try:
+                train(n)
+            except Exception as e:
+                warnings.warn(f"retraining on {n} rows failed: {e}", stacklevel=1)
 
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    when = {"processingTime": every} if every else {"availableNow": True}
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**when).start()

@@ -6,6 +6,7 @@ import time
 import pytest
 
 from sparquill.plans import experiment as X
+from sparquill.plans.files import Files
 from sparquill.plans.lifecycle import ModelStore, Profiles, SavedQueries, Settings, TrainingJob, model_fit, read_json, redacted, retrain, run_with_timeout, should_promote
 
 
@@ -45,27 +46,33 @@ def test_profiles_and_saved_queries(tmp_path):
     assert model_fit({"a", "b"}, {"b", "c"}) == {"missing": ["a"], "new": ["c"], "fits": False}
 
 
-def test_store_and_retraining(tmp_path):
-    s = ModelStore(tmp_path, lambda: dt.datetime(2024, 1, 1))
-    a = s.save(lambda p: (p / "m").write_text("1"))
-    b = s.save(lambda p: (p / "m").write_text("2"))
-    assert (a, b) == ("20240101T000000Z", "20240101T000000Z-2") and s.current() is None and s.rollback() is None
-    s.promote(b)
-    assert s.rollback() == a and s.current() == a and s.rollback() is None
-    s.save(lambda p: (p / "m").write_text("3"), version=a)
-    assert (tmp_path / a / "m").read_text() == "3" and len(s.versions()) == 2
+def test_store_and_retraining(spark, tmp_path):
+    files = Files(spark)
+    s = ModelStore(files, str(tmp_path), lambda: dt.datetime(2024, 1, 1))
+    assert s.versions() == [] and s.rollback() is None and s.current() is None
+
+    def make(path):
+        files.write_json(f"{path}/m.json", {"made": path})
+
+    a, b = s.save(make, {"pending_rows": 5}), s.save(make)
+    assert a != b and [v["version"] for v in s.versions()] == [b, a] and not any(v["current"] for v in s.versions())
+    assert s.promote(b).endswith(b) and s.current() == b and s.rollback() == a and s.rollback() is None
     with pytest.raises(KeyError):
-        s.promote("none")
-    (tmp_path / "registry.json").write_text("x")
+        s.promote("gone")
+    assert s.save(make, version=a) == a and files.read_json(f"{s.path(a)}/m.json", {})["made"] == s.path(a)
+    s.note(a, {"trained_until": "x"})
+    assert [v for v in s.versions() if v["version"] == a][0]["trained_until"] == "x"
+    files.delete(s.path(b))
+    assert [v["version"] for v in s.versions()] == [a]
+    (tmp_path / "registry.json").write_text("{broken")
+    (tmp_path / ".registry.json.crc").unlink(missing_ok=True)
     assert s.versions() == []
     assert should_promote(100.0, 97.0)[0] and not should_promote(100.0, 99.0)[0] and not should_promote(None, None)[0] and should_promote(None, 5.0)[0]
-    t = ModelStore(tmp_path / "t", lambda: dt.datetime(2024, 1, 2))
-    scores = iter([50.0, 50.0, 50.0, 50.0, 40.0])
-    make, score = lambda p: (p / "m").write_text("x"), lambda p: next(scores)
-    assert retrain(t, 10, make, score)["status"] == "skipped"
-    assert retrain(t, 10, make, score, force=True)["status"] == "promoted"
-    assert retrain(t, 500, make, score)["status"] == "rejected"
-    assert retrain(t, 500, make, score)["status"] == "promoted"
+    t = ModelStore(files, f"file://{tmp_path}/t", lambda: dt.datetime(2024, 1, 2))
+    scores = iter([50.0, 50.0, 50.0, 40.0, 50.0, None])
+    assert retrain(t, 10, make, lambda p: next(scores))["status"] == "skipped"
+    assert retrain(t, 10, make, lambda p: next(scores), force=True)["status"] == "promoted"
+    assert [retrain(t, 500, make, lambda p: next(scores))["status"] for _ in range(3)] == ["rejected", "promoted", "rejected"]
 
 
 def test_training_job():

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from sparquill.functions.keys import query_key
 from sparquill.operators.log_analytics import average_ranks, running_totals
 from sparquill.operators.ordering import ordered_table, with_position
-from sparquill.sources.files import ecommerce, query_files, read_csv
+from pyspark.sql.functions import col as spark_col
+
+from sparquill.sources.files import expanded, tpch_shaped, ecommerce, query_files, read_csv
 from sparquill.storage import drop_scratch, materialize, scratch_root
 from sparquill.streaming.log_stream import read_stream, retrain_on_arrival, windowed
 
@@ -91,3 +93,31 @@ def test_retraining_by_arrival(spark, tmp_path, least, calls):
     q = retrain_on_arrival(read_stream(spark, str(tmp_path / "log"), batch.schema), str(tmp_path / "c2"), seen.append, least)
     q.awaitTermination(120)
     assert len(seen) == calls and sum(seen) in (0, 30)
+
+
+def test_periodic_retraining_survives_a_failure(spark, tmp_path):
+    batch = log(spark, tmp_path)
+    seen = []
+
+    def train(n):
+        seen.append(n)
+        raise RuntimeError("no models today")
+
+    with pytest.warns(UserWarning, match="no models today"):
+        q = retrain_on_arrival(read_stream(spark, str(tmp_path / "log"), batch.schema), str(tmp_path / "c3"), train, 1, every="1 second")
+        q.processAllAvailable()
+    assert seen and q.isActive
+    q.stop()
+
+
+def test_benchmark_shaped_tables(spark):
+    t = tpch_shaped(spark, 0.001)
+    assert {k: t[k].count() for k in ("region", "nation", "supplier", "customer", "part", "partsupp", "orders")} == {"region": 5, "nation": 25, "supplier": 10, "customer": 150, "part": 200, "partsupp": 800, "orders": 1500}
+    assert t["customer"].first()["c_name"] == "Customer#000000001"
+    lines = t["lineitem"].groupBy("l_orderkey").agg({"l_linenumber": "max", "*": "count"}).toDF("k", "most", "n")
+    assert lines.count() == 1500 and lines.where("most <> n OR n > 7").count() == 0
+    hot = t["orders"].where("o_custkey <= 30").count() / 1500
+    assert 0.5 < hot < 0.7
+    assert t["nation"].where("n_regionkey = n_nationkey div 5").count() == 25
+    assert t["lineitem"].join(t["part"], t["lineitem"]["l_partkey"] == t["part"]["p_partkey"], "left_anti").count() == 0
+    assert expanded(spark.range(3), spark_col("id"), "k").count() == 3
