@@ -56,31 +56,34 @@ def _last_order(query: spj.SpjQuery) -> actions.Action:
     return actions.Action("last order", order=order)
 
 
+LEARNED = ("spj_3way", "spj_4way_trap")
+
+
 def _derived_log(engine: Engine, statements: dict[str, str]) -> None:
-    """Log every plan of some statements with a time that its order alone decides: orders that
-    begin with the smallest table take a fifth of the native plan's time, others half as much again."""
+    """Log every plan of some statements with a time that its joins alone decide: plans that merge
+    sorted inputs throughout take a fifth of the native plan's time, others half as much again."""
     entries = []
     for name, sql in statements.items():
         for label, plan in engine.plans_of(sql).items():
-            fast = label is not None and label.startswith("order r ")
-            plan.actual_ms = 100.0 if label is None else 20.0 if fast else 150.0
+            merged = {n.kind for n in plan.nodes if n.join_type} == {"SortMergeJoin"}
+            plan.actual_ms = 100.0 if label is None else 20.0 if merged else 150.0
             entries.append({"query_id": name, "sql_text": sql, "plan": plan, "is_baseline": label is None, "is_chosen": False, "selector_used": "collection"})
     engine.log.append(entries)
 
 
 def _learned(spark: SparkSession, folder: str) -> DataFrame:
-    """What an engine trained on a derived log serves for three queries, and why; each plan runs once."""
-    database = catalog.register_folder(spark, folder, TPCH, analyze=False)
+    """What an engine trained on a derived log serves, and why; the served plans are run once."""
+    database = catalog.register_folder(spark, folder, STAR_AND_SHOP, analyze=False)
     engine = Engine(spark, database, ExecutionLog(spark, f"{application_folder(spark)}/derived-{uuid.uuid4().hex}"))
-    statements = {n: join_queries(database)[n] for n in ("spj_4way_trap", "spj_5way", "spj_6way_trap")}
+    statements = {n: join_queries(database)[n] for n in LEARNED}
     _derived_log(engine, statements)
     engine.train()
     out = []
     for name, sql in statements.items():
         decision, _, _ = engine.plan_query(sql, name)
-        first = next(n.relation for n in decision.plan.nodes if n.relation)
-        out.append((name, first, decision.reason, decision.deviated, extract.run_plan(decision.plan).n_rows))
-    return spark.createDataFrame(out, "query string, first_table string, reason string, deviated boolean, n_rows long")
+        joins = sorted({n.kind for n in decision.plan.nodes if n.join_type})
+        out.append((name, ", ".join(joins), decision.reason, decision.deviated, extract.run_plan(decision.plan).n_rows))
+    return spark.createDataFrame(out, "query string, joins string, reason string, deviated boolean, n_rows long")
 
 
 def _orphans(spark: SparkSession, folder: str) -> DataFrame:
@@ -139,7 +142,7 @@ _KIDS = ", kids AS (SELECT exec_id, parent_id AS node_id, count(*) AS n_kids, su
 ORACLES = {
     **{n: sql for n, sql in join_queries("").items()},
     **{n: join_queries("")["spj_4way_trap"] for n in ("order_rewrite", "strategy_merge", "strategy_shuffle_hash", "strategy_broadcast")},
-    "learned_pick": " UNION ALL ".join(f"SELECT '{n}' AS query, 'region' AS first_table, 'confident_gain' AS reason, true AS deviated, count(*) AS n_rows FROM ({join_queries('')[n]})" for n in ("spj_4way_trap", "spj_5way", "spj_6way_trap")),
+    "learned_pick": " UNION ALL ".join(f"SELECT '{n}' AS query, 'SortMergeJoin' AS joins, 'confident_gain' AS reason, true AS deviated, count(*) AS n_rows FROM ({join_queries('')[n]})" for n in LEARNED),
     "strategy_cartesian": join_queries("")["spj_3way"],
     "plan_tree_features": f"""{_NODES}{_KIDS}, e AS (SELECT n.*, k.n_kids, k.kid_rows, k.least, k.most FROM nodes n LEFT JOIN kids k ON n.exec_id = k.exec_id AND n.node_id = k.node_id)
       SELECT exec_id, max(depth)::DOUBLE AS tree_depth, count(*) FILTER (WHERE n_kids IS NULL)::DOUBLE AS tree_leaves,
@@ -155,8 +158,8 @@ ORACLES = {
         count(relation) AS num_tables, greatest(count(relation) - 1, 0) AS num_joins, any_value(CASE WHEN length(l.hint) > 0 THEN 1.0 ELSE 0.0 END)::DOUBLE AS has_hint
       FROM e JOIN plan_execution_log l ON e.exec_id = l.id GROUP BY exec_id""",
     "plan_table_features": f"""{_NODES}, s AS (SELECT exec_id, relation, coalesce(est_rows, 0) AS r, contains(node_type, 'Index') OR contains(node_type, 'Bitmap') AS ix,
-        row_number() OVER (PARTITION BY exec_id ORDER BY node_id) / count(*) OVER (PARTITION BY exec_id) AS at FROM nodes WHERE relation IS NOT NULL)
-      SELECT exec_id, {", ".join(f"""coalesce(max(1.0) FILTER (WHERE relation = '{t}'), 0)::DOUBLE AS {t}_present, coalesce(round(min(at) FILTER (WHERE relation = '{t}'), 6), 0) AS {t}_join_position,
+        row_number() OVER (PARTITION BY exec_id ORDER BY node_id) / count(*) OVER (PARTITION BY exec_id) AS pos FROM nodes WHERE relation IS NOT NULL)
+      SELECT exec_id, {", ".join(f"""coalesce(max(1.0) FILTER (WHERE relation = '{t}'), 0)::DOUBLE AS {t}_present, coalesce(round(min(pos) FILTER (WHERE relation = '{t}'), 6), 0) AS {t}_join_position,
         coalesce(round(min(least(r / (SELECT count(*) FROM {t}), 5)) FILTER (WHERE relation = '{t}'), 6), 1) AS {t}_selectivity,
         coalesce(max(ix::INT) FILTER (WHERE relation = '{t}'), 0)::DOUBLE AS {t}_index_scan, (count(*) FILTER (WHERE relation = '{t}'))::DOUBLE AS {t}_occurrences""" for t in SHOP)}
       FROM s GROUP BY exec_id""",
@@ -173,12 +176,12 @@ ORACLES = {
       round(ln((actual_rows + 1) / (coalesce(est_rows, 0) + 1)), 6) AS log_qerror
       FROM nodes n JOIN k ON n.exec_id = k.exec_id AND n.node_id = k.node_id WHERE node_type IN {features.JOINS} AND actual_rows IS NOT NULL""",
     "advisor_rows": f"""{_NODES}, s AS (SELECT relation, node_type,
-        list_filter(list_distinct(regexp_extract_all(filter, '{features.FILTER_COLUMN}', 1)), c -> NOT list_contains({list(features.NO_COLUMNS)}, lower(c))) AS unordered, filter,
+        list_filter(list_distinct(regexp_extract_all(filter, '{features.FILTER_COLUMN}', 1)), lambda c: NOT list_contains({list(features.NO_COLUMNS)}, lower(c))) AS unordered, filter,
         greatest(greatest(coalesce(est_rows, 0), 1) / greatest(actual_rows, 1), greatest(actual_rows, 1) / greatest(coalesce(est_rows, 0), 1)) AS q,
         actual_rows + coalesce(rows_removed, 0) AS rd, CASE WHEN actual_rows + coalesce(rows_removed, 0) > 0 THEN coalesce(rows_removed, 0) / (actual_rows + coalesce(rows_removed, 0)) ELSE 0 END AS part
         FROM nodes WHERE relation IS NOT NULL AND actual_rows IS NOT NULL AND filter <> ''),
       d AS (SELECT *, array_to_string(list_sort(unordered), ', ') AS by_name,
-        array_to_string(list_transform(list_sort(list_transform(unordered, c -> lpad(list_position(regexp_extract_all(filter, '{features.FILTER_COLUMN}', 1), c)::VARCHAR, 4, '0') || c)), c -> c[5:]), ', ') AS by_place FROM s)
+        array_to_string(list_transform(list_sort(list_transform(unordered, lambda c: lpad(list_position(regexp_extract_all(filter, '{features.FILTER_COLUMN}', 1), c)::VARCHAR, 4, '0') || c)), lambda c: c[5:]), ', ') AS by_place FROM s)
       SELECT relation, by_name AS columns, 'statistics' AS kind, round(max(q), 4) AS worst, count(*) AS n_scans, CASE WHEN max(q) >= 20 THEN 'high' ELSE 'medium' END AS severity,
         'ANALYZE TABLE ' || relation || ' COMPUTE STATISTICS FOR COLUMNS ' || by_name AS statement FROM d WHERE len(unordered) >= 2 AND q >= 5 GROUP BY relation, by_name
       UNION ALL SELECT relation, by_place, 'layout', round(max(part), 4), count(*), CASE WHEN max(part) > 0.99 THEN 'high' ELSE 'medium' END, 'ALTER TABLE ' || relation || ' CLUSTER BY (' || by_place || ')' FROM d
