@@ -12,7 +12,7 @@ from sparquill.llm.percentiles import daily_runs, join_runs, percentiles, runs_o
 from sparquill.llm.rankings import top_items
 from sparquill.llm.screening import ScreenRules, fitted_screen, score_documents, source_rates
 from sparquill.llm.splits import log_records, query_links, spanning_forest, split_report, split_rows
-from sparquill.operators.balance import balanced_join
+from sparquill.operators.balance import balanced_join, lookup
 from sparquill.sources.tables import table, widened
 from sparquill.storage import materialize
 
@@ -27,15 +27,16 @@ def _links(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
-    """Every query_id that is one query with others, and the root of its group."""
+    """Every query_id that is one query with others, and the least member of its group."""
     _, labels = spanning_forest(_links(spark, folder))
-    return labels.select(F.col("node").alias("query_id"), "root")
+    least = materialize(labels.groupBy("root").agg(F.min("node").alias("group_id")), "least_members")
+    return lookup(labels, least, ["root"]).select(F.col("node").alias("query_id"), "group_id")
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of query_ids that are one query: the groups' members, paired as the list asks."""
-    groups = p1_groups(spark, folder)
-    pairs = balanced_join(groups, groups.withColumnRenamed("query_id", "other"), ["root"])
+    groups = materialize(p1_groups(spark, folder), "groups")
+    pairs = balanced_join(groups, groups.withColumnRenamed("query_id", "other"), ["group_id"])
     return pairs.where(F.col("query_id") < F.col("other")).select(F.col("query_id").alias("query_id_1"), F.col("other").alias("query_id_2"))
 
 
@@ -147,7 +148,23 @@ SELECT query_id, hint, count(*) AS n,
        round(quantile_cont(actual_total_time_ms, 0.95), 6) AS p95_ms, round(quantile_cont(actual_total_time_ms, 0.99), 6) AS p99_ms, 0.0::DOUBLE AS max_error
 FROM plan_execution_log WHERE isfinite(actual_total_time_ms) GROUP BY query_id, hint"""
 
+#: The statements of the log are SELECT lists FROM joins WHERE AND-ed conditions throughout.
+_KEYS = r"""
+WITH RECURSIVE s AS (SELECT id, query_id, trim(regexp_replace(lower(regexp_replace(regexp_replace(sql_text, '["`]', '', 'g'), '[();]', ' ', 'g')), '[\s\p{Z}]+', ' ', 'g')) AS t FROM plan_execution_log WHERE sql_text IS NOT NULL),
+e AS (SELECT id, query_id, regexp_replace(t, '\s*([=<>,]+)\s*', '\1', 'g') AS t FROM s),
+k AS (SELECT id, query_id, array_to_string(list_sort(string_split(regexp_extract(t, '^select (.*?) from ', 1), ',')), ',') || regexp_extract(t, '( from .*? where )', 1)
+  || array_to_string(list_sort(string_split(regexp_extract(t, ' where (.*)$', 1), ' and ')), ' and ') AS key FROM e)"""
+_GROUPS = _KEYS + r""",
+m AS (SELECT DISTINCT query_id AS q, 'k ' || key AS h FROM k WHERE query_id IS NOT NULL UNION
+  SELECT DISTINCT query_id, 's ' || regexp_replace(regexp_replace(regexp_replace(lower(query_id), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), '[^\p{L}\p{N}:]+', '_', 'g'), '_?:_?', ':', 'g') FROM plan_execution_log WHERE query_id IS NOT NULL),
+g AS (SELECT DISTINCT a.q AS a, b.q AS b FROM m a JOIN m b ON a.h = b.h WHERE a.q <> b.q),
+r AS (SELECT DISTINCT a, a AS b FROM g UNION SELECT r.a, g.b FROM r JOIN g ON r.b = g.a)"""
+
 ORACLES = {
+    "p1_found": f"{_GROUPS} SELECT a AS query_id_1, b AS query_id_2 FROM r WHERE a < b",
+    "p1_groups": f"{_GROUPS} SELECT a AS query_id, min(b) AS group_id FROM r GROUP BY a",
+    "p2_found": f"{_KEYS}, f AS (SELECT id, min(id) OVER (PARTITION BY key) AS first_id FROM k) SELECT first_id, id AS copy_id FROM f WHERE id <> first_id",
+    "p2_statements": f"{_KEYS} SELECT min(id) AS first_id, count(*) AS copies FROM k GROUP BY key",
     "p5_percentiles": _P5,
     "p5_joined_days": _P5,
     "p5_daily_runs": """
