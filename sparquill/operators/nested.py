@@ -8,6 +8,7 @@ text is parsed by itself but the few that are JSON strings around JSON.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator, Sequence
 from functools import cached_property
 
@@ -40,6 +41,9 @@ _FILLED[_OPEN_ARRAY, [_COMMA, _CLOSE_ARRAY]] = True
 _FILLED[_COLON, [_COMMA, _CLOSE_OBJECT]] = True
 _FILLED[_COMMA, [_COMMA, _CLOSE_ARRAY]] = True
 
+#: A number, true, false or null.
+_SCALAR = re.compile(rb"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null")
+
 #: Bytes indexed at a time; one longer text is a chunk of its own.
 CHUNK_BYTES = 4 << 20
 
@@ -144,6 +148,46 @@ class StructuralIndex:
             filled[unsure] = np.add.reduceat(~_IS_SPACE[self.data[inner]], start, dtype=np.int64) > 0
         ok = np.where(filled, _FILLED[a, b], _BARE[a, b])
         bad[row[at[~ok]]] = True
+        bare = np.flatnonzero(filled & ok)
+        bare = bare[~self._scalars(begin[bare], end[bare])]
+        bad[row[at[bare]]] = True
+
+    def _trimmed(self, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Spans without the white space at their ends; none is only white space."""
+        begin, end = begin.copy(), end.copy()
+        wide = np.flatnonzero(_IS_SPACE[self.data[begin]])
+        while len(wide):
+            begin[wide] += 1
+            wide = wide[_IS_SPACE[self.data[begin[wide]]]]
+        wide = np.flatnonzero(_IS_SPACE[self.data[end - 1]])
+        while len(wide):
+            end[wide] -= 1
+            wide = wide[_IS_SPACE[self.data[end[wide] - 1]]]
+        return begin, end
+
+    def _scalars(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Which spans are a number, true, false or null, by counts of digits and points; what is
+        neither a plain integer nor a plain decimal is looked at by itself, once per text."""
+        if not len(begin):
+            return np.zeros(0, bool)
+        begin, end = self._trimmed(begin, end)
+        base = int(self.offsets[0])
+        chunk = self.data[base : self.offsets[-1]]
+        other = np.cumsum(np.append(np.int32(0), ~((chunk >= 48) & (chunk <= 57))), dtype=np.int32)
+        points = np.cumsum(np.append(np.int32(0), chunk == 46), dtype=np.int32)
+        first = begin + (self.data[begin] == 45)
+        n_other = other[end - base] - other[np.minimum(first, end) - base]
+        lead = self.data[np.minimum(first, len(self.data) - 1)]
+        after = self.data[np.minimum(first + 1, len(self.data) - 1)]
+        no_zero = (lead != 48) | (first + 1 >= end) | (after == 46)
+        one_point = (n_other == 1) & (points[end - base] - points[np.minimum(first, end) - base] == 1) & (lead != 46) & (self.data[end - 1] != 46)
+        good = (first < end) & no_zero & ((n_other == 0) | one_point)
+        rest = np.flatnonzero(~good)
+        if len(rest):
+            texts = _slices(self.data, begin[rest], end[rest], pa.binary()).dictionary_encode()
+            fits = np.array([_SCALAR.fullmatch(t) is not None for t in texts.dictionary.to_pylist()])
+            good[rest] = fits[texts.indices.to_numpy()]
+        return good
 
     def _pair(self, level: np.ndarray) -> None:
         bracket = np.flatnonzero((self.kind >= _OPEN_OBJECT) & (self.kind <= _CLOSE_ARRAY))
@@ -210,8 +254,8 @@ class StructuralIndex:
     def values(self, name: bytes, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """[begin, end) of the value of key ``name`` in each of ``spans``; begin is -1 without one.
 
-        Strings come without their quotes, escapes kept; other scalars as written, with the
-        white space around them; objects and arrays as -1.
+        Strings come without their quotes, escapes kept; other scalars as written; null, objects
+        and arrays as -1.
         """
         begin, end = np.full(len(spans), -1), np.full(len(spans), -1)
         at, span = self.keys(name)
@@ -226,6 +270,9 @@ class StructuralIndex:
         scalar = (self.kind[after] == _COMMA) | (self.kind[after] == _CLOSE_OBJECT)
         a = np.where(string, self.pos[after] + 1, self.pos[colon] + 1)
         b = np.where(string, self.pos[np.minimum(after + 1, len(self.pos) - 1)], self.pos[after])
+        bare = np.flatnonzero(~string & scalar)
+        a[bare], b[bare] = self._trimmed(a[bare], b[bare])
+        scalar[bare] = self.data[a[bare]] != ord("n")
         ok = string | scalar
         begin[i[ok]], end[i[ok]] = a[ok], b[ok]
         return begin, end
@@ -277,15 +324,16 @@ def _first_is_quote(data: np.ndarray, offsets: np.ndarray) -> list[int]:
     return out
 
 
-def _slices(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
-    """Strings data[begin:end]; null where begin is negative."""
+def _slices(data: np.ndarray, begin: np.ndarray, end: np.ndarray, kind: pa.DataType | None = None) -> pa.Array:
+    """Strings (or another ``kind``) data[begin:end]; null where begin is negative."""
     null = begin < 0
     length = np.where(null, 0, end - begin)
     offsets = np.zeros(len(begin) + 1, np.int64)
     np.cumsum(length, out=offsets[1:])
     at = np.repeat(begin - offsets[:-1], length) + np.arange(offsets[-1])
-    text = pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(offsets), pa.py_buffer(data[at].tobytes())).cast(pa.string())
-    return pa.compute.if_else(pa.array(~null), text, pa.scalar(None, pa.string())) if null.any() else text
+    wide = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(data[at].tobytes())])
+    text = wide.cast(kind) if kind else wide.cast(pa.large_string()).cast(pa.string())
+    return pa.compute.if_else(pa.array(~null), text, pa.scalar(None, text.type)) if null.any() else text
 
 
 def flatten_nodes(df: DataFrame, id_col: str, json_col: str, node_key: str, attributes: Sequence[str] = ()) -> DataFrame:
@@ -293,8 +341,8 @@ def flatten_nodes(df: DataFrame, id_col: str, json_col: str, node_key: str, attr
 
     Columns: ``id`` (of ``id_col``), ``node_no`` (from 0 in the order in which objects begin),
     ``parent_no`` (nearest enclosing node, -1 without one), ``depth``, ``inside`` (how many nodes
-    follow that are inside this one), and for each of ``attributes`` a string column ``attr_<i>``: the node's scalar of that key, null if absent
-    or not scalar. A JSON text inside a JSON string counts as the text it holds. Null, empty
+    follow that are inside this one), and for each of ``attributes`` a string column ``attr_<i>``: the node's scalar of that key, null if absent,
+    null or not scalar. A JSON text inside a JSON string counts as the text it holds. Null, empty
     and incomplete texts, and scalars, have no nodes. The texts are read whole.
     """
     key, names = node_key.encode(), [a.encode() for a in attributes]

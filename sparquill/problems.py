@@ -97,6 +97,14 @@ UNION ALL
 SELECT p.id, p.field_name FROM p JOIN c ON p.field_name = c.field_name AND p.query_id = c.query_id WHERE p.n >= 20 AND p.part <> c.part
 """
 
+_NODES = """
+        WITH t AS (SELECT id, CASE WHEN json_valid(raw_plan) THEN raw_plan::JSON END AS j FROM plan_execution_log),
+        u AS (SELECT id, CASE WHEN json_type(j) = 'VARCHAR' THEN CASE WHEN json_valid(j ->> '$') THEN (j ->> '$')::JSON END ELSE j END AS j FROM t),
+        w AS (SELECT u.id, e.id AS nid, e.fullkey AS path, e.value AS v FROM u, json_tree(u.j) e WHERE e.type = 'OBJECT' AND json_exists(e.value, '$."Node Type"')),
+        n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY nid) - 1 AS node_no FROM w),
+        p AS (SELECT a.id, a.node_no::INT AS node_no, coalesce(max(b.node_no), -1)::INT AS parent_no, count(b.node_no)::INT AS depth, any_value(a.v) AS v
+          FROM n a LEFT JOIN n b ON a.id = b.id AND b.nid < a.nid AND starts_with(a.path, b.path || '.') GROUP BY a.id, a.node_no)"""
+
 ORACLES = {
     "p3_found": """
         SELECT 'query_id' AS field_name, query_id AS key_value FROM plan_execution_log WHERE query_id IS NOT NULL
@@ -112,11 +120,8 @@ ORACLES = {
     "p3_join": """
         SELECT w.join_width, count(*) AS n_rows FROM plan_execution_log l JOIN workload_item w ON l.query_id = w.id GROUP BY w.join_width""",
     "p4_found": _P4,
-    "p7_found": """
-        WITH t AS (SELECT id, CASE WHEN json_valid(raw_plan) THEN raw_plan::JSON END AS j FROM plan_execution_log),
-        u AS (SELECT id, CASE WHEN json_type(j) = 'VARCHAR' THEN CASE WHEN json_valid(j ->> '$') THEN (j ->> '$')::JSON END ELSE j END AS j FROM t),
-        w AS (SELECT u.id, e.id AS nid, e.fullkey AS path FROM u, json_tree(u.j) e WHERE e.type = 'OBJECT' AND json_exists(e.value, '$."Node Type"')),
-        n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY nid) - 1 AS node_no FROM w)
-        SELECT a.id, a.node_no::INT AS node_no, coalesce(max(b.node_no), -1)::INT AS parent_no
-        FROM n a LEFT JOIN n b ON a.id = b.id AND b.nid < a.nid AND starts_with(a.path, b.path || '.') GROUP BY a.id, a.node_no""",
+    "p7_found": f"{_NODES} SELECT id, node_no, parent_no FROM p",
+    "p7_nodes": f"""{_NODES} SELECT id, node_no, parent_no, depth, v ->> '$."Node Type"' AS node_type, v ->> '$."Relation Name"' AS relation_name, v ->> '$."Alias"' AS alias, v ->> '$."Join Type"' AS join_type,
+        try_cast(v ->> '$."Plan Rows"' AS DOUBLE) AS plan_rows, try_cast(v ->> '$."Total Cost"' AS DOUBLE) AS total_cost, try_cast(v ->> '$."Actual Rows"' AS DOUBLE) AS actual_rows,
+        try_cast(v ->> '$."Actual Total Time"' AS DOUBLE) AS actual_total_time FROM p""",
 }

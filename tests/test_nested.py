@@ -1,6 +1,7 @@
 import json
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -65,6 +66,21 @@ def test_incomplete_and_malformed_texts():
     assert nodes([" \n" + good + "\t"])[0] == [(0, -1), (1, 0)]
 
 
+@pytest.mark.parametrize("bare", ["0", "-0", "12", "-7", "1.50", "0.5", "-0.25", "1e5", "1E-3", "-2.5e+10", "true", "false", "null", " 3 ", "\n12.0\t"])
+def test_bare_values(bare):
+    assert nodes([f'{{"Node Type":{bare}}}', f'[{bare},{{"Node Type":[1,{bare}]}}]']) == [[(0, -1)], [(0, -1)]]
+
+
+@pytest.mark.parametrize("bare", ["foo", "01", "-", "+1", "1.", ".5", "1..2", "1.2.3", "1e", "--1", "1-2", "tru", "True", "nullx", "1 2", "0x1", "-01", "NaN"])
+def test_what_is_no_value_makes_a_text_incomplete(bare):
+    assert nodes([f'{{"Node Type":{bare}}}', f'[1,{bare}]', '{"Node Type":1}']) == [[], [], [(0, -1)]]
+
+
+def test_numbers_of_inner_nodes():
+    f = indexed(['{"Node Type":1,"P":[{"Node Type":2,"P":{"Node Type":3}},{"Node Type":4}]}', "[]", '{"Node Type":1}']).nodes(KEY.encode())
+    assert f["inside"].tolist() == [3, 1, 0, 0, 0]
+
+
 def test_key_is_no_value_and_no_deeper_key():
     assert nodes(['{"a":"Node Type","b":{"c":["Node Type"]}}', '{"a":{"Node Type":1}}'])[0] == []
     assert nodes(['{"x":[{"Node Type":1},{"y":{"Node Type":2}}],"Node Type":0}'])[0] == [(0, -1), (1, 0), (2, 0)]
@@ -81,6 +97,6 @@ def test_rows_and_attributes(spark):
     data = [(1, '{"Node Type":"A","Rows":3,"Plans":[{"Node Type":"B \\"q\\"","Rows": null }]}', 9), (2, None, 9), (3, "", 9), (4, json.dumps('{"Node Type":"W"}'), 9), (5, long, 9), (5, "[]", 9)]
     df = spark.createDataFrame(data, "id long, raw string, node_no int")
     rows = sorted(map(tuple, flatten_nodes(df, "id", "raw", KEY, [KEY, "Rows"]).where("id < 5").collect()))
-    assert rows == [(1, 0, -1, 0, "A", "3"), (1, 1, 0, 1, 'B \\"q\\"', " null "), (4, 0, -1, 0, "W", None)]
+    assert rows == [(1, 0, -1, 0, 1, "A", "3"), (1, 1, 0, 1, 0, 'B \\"q\\"', None), (4, 0, -1, 0, 0, "W", None)]
     assert flatten_nodes(df, "id", "raw", KEY).where("id = 5").count() == 3001
     assert flatten_nodes(df.limit(0), "id", "raw", KEY).count() == 0
