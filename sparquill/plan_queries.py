@@ -117,6 +117,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scan_qerrors": _on_nodes(features.scan_qerrors),
     "join_qerrors": _on_nodes(features.join_qerrors),
     "advisor_rows": _on_nodes(features.advice),
+    # the test log's filters have one column each, so the usual limits find nothing there
+    "advisor_rows_strict": _on_nodes(lambda nodes: features.advice(nodes, q_limit=3.0, least_rows=1000, discarded=0.3, least_columns=1)),
     "orphan_rows": _orphans,
     "numeric_percentiles": _percentiles,
     "text_samples": _samples,
@@ -139,6 +141,20 @@ NODES_SQL = _NODES
 _IN = {f: "(" + ", ".join(f"'{k}'" for k in kinds) + ")" for f, kinds in features.FAMILIES.items()}
 _KIDS = ", kids AS (SELECT exec_id, parent_id AS node_id, count(*) AS n_kids, sum(coalesce(est_rows, 0)) AS kid_rows, min(coalesce(est_rows, 0)) AS least, max(coalesce(est_rows, 0)) AS most, arg_min(coalesce(est_rows, 0), node_id) AS l, arg_max(coalesce(est_rows, 0), node_id) AS r FROM nodes WHERE parent_id >= 0 GROUP BY 1, 2)"
 
+def _advice_sql(q_limit: float, least_rows: int, discarded: float, least_columns: int) -> str:
+    return f"""{_NODES}, s AS (SELECT relation, node_type,
+        list_filter(list_distinct(regexp_extract_all(filter, '{features.FILTER_COLUMN}', 1)), lambda c: NOT list_contains({list(features.NO_COLUMNS)}, lower(c))) AS unordered, filter,
+        greatest(greatest(coalesce(est_rows, 0), 1) / greatest(actual_rows, 1), greatest(actual_rows, 1) / greatest(coalesce(est_rows, 0), 1)) AS q,
+        actual_rows + coalesce(rows_removed, 0) AS rd, CASE WHEN actual_rows + coalesce(rows_removed, 0) > 0 THEN coalesce(rows_removed, 0) / (actual_rows + coalesce(rows_removed, 0)) ELSE 0 END AS part
+        FROM nodes WHERE relation IS NOT NULL AND actual_rows IS NOT NULL AND filter <> ''),
+      d AS (SELECT *, array_to_string(list_sort(unordered), ', ') AS by_name,
+        array_to_string(list_transform(list_sort(list_transform(unordered, lambda c: lpad(list_position(regexp_extract_all(filter, '{features.FILTER_COLUMN}', 1), c)::VARCHAR, 4, '0') || c)), lambda c: c[5:]), ', ') AS by_place FROM s)
+      SELECT relation, by_name AS columns, 'statistics' AS kind, round(max(q), 4) AS worst, count(*) AS n_scans, CASE WHEN max(q) >= 20 THEN 'high' ELSE 'medium' END AS severity,
+        'ANALYZE TABLE ' || relation || ' COMPUTE STATISTICS FOR COLUMNS ' || by_name AS statement FROM d WHERE len(unordered) >= {least_columns} AND q >= {q_limit} GROUP BY relation, by_name
+      UNION ALL SELECT relation, by_place, 'layout', round(max(part), 4), count(*), CASE WHEN max(part) > 0.99 THEN 'high' ELSE 'medium' END, 'ALTER TABLE ' || relation || ' CLUSTER BY (' || by_place || ')' FROM d
+      WHERE node_type IN {_IN["seq_scan"]} AND len(unordered) > 0 AND rd >= {least_rows} AND part >= {discarded} GROUP BY relation, by_place"""
+
+
 ORACLES = {
     **{n: sql for n, sql in join_queries("").items()},
     **{n: join_queries("")["spj_4way_trap"] for n in ("order_rewrite", "strategy_merge", "strategy_shuffle_hash", "strategy_broadcast")},
@@ -175,17 +191,8 @@ ORACLES = {
       node_type = 'Nested Loop' AS is_nested_loop, node_type = 'Hash Join' AS is_hash_join, node_type = 'Merge Join' AS is_merge_join,
       round(ln((actual_rows + 1) / (coalesce(est_rows, 0) + 1)), 6) AS log_qerror
       FROM nodes n JOIN k ON n.exec_id = k.exec_id AND n.node_id = k.node_id WHERE node_type IN {features.JOINS} AND actual_rows IS NOT NULL""",
-    "advisor_rows": f"""{_NODES}, s AS (SELECT relation, node_type,
-        list_filter(list_distinct(regexp_extract_all(filter, '{features.FILTER_COLUMN}', 1)), lambda c: NOT list_contains({list(features.NO_COLUMNS)}, lower(c))) AS unordered, filter,
-        greatest(greatest(coalesce(est_rows, 0), 1) / greatest(actual_rows, 1), greatest(actual_rows, 1) / greatest(coalesce(est_rows, 0), 1)) AS q,
-        actual_rows + coalesce(rows_removed, 0) AS rd, CASE WHEN actual_rows + coalesce(rows_removed, 0) > 0 THEN coalesce(rows_removed, 0) / (actual_rows + coalesce(rows_removed, 0)) ELSE 0 END AS part
-        FROM nodes WHERE relation IS NOT NULL AND actual_rows IS NOT NULL AND filter <> ''),
-      d AS (SELECT *, array_to_string(list_sort(unordered), ', ') AS by_name,
-        array_to_string(list_transform(list_sort(list_transform(unordered, lambda c: lpad(list_position(regexp_extract_all(filter, '{features.FILTER_COLUMN}', 1), c)::VARCHAR, 4, '0') || c)), lambda c: c[5:]), ', ') AS by_place FROM s)
-      SELECT relation, by_name AS columns, 'statistics' AS kind, round(max(q), 4) AS worst, count(*) AS n_scans, CASE WHEN max(q) >= 20 THEN 'high' ELSE 'medium' END AS severity,
-        'ANALYZE TABLE ' || relation || ' COMPUTE STATISTICS FOR COLUMNS ' || by_name AS statement FROM d WHERE len(unordered) >= 2 AND q >= 5 GROUP BY relation, by_name
-      UNION ALL SELECT relation, by_place, 'layout', round(max(part), 4), count(*), CASE WHEN max(part) > 0.99 THEN 'high' ELSE 'medium' END, 'ALTER TABLE ' || relation || ' CLUSTER BY (' || by_place || ')' FROM d
-      WHERE node_type IN {_IN["seq_scan"]} AND len(unordered) > 0 AND rd >= 10000 AND part >= 0.9 GROUP BY relation, by_place""",
+    "advisor_rows": _advice_sql(5, 10_000, 0.9, 2),
+    "advisor_rows_strict": _advice_sql(3, 1000, 0.3, 1),
     "orphan_rows": "SELECT count(*) AS n_orphans FROM product_suppliers p WHERE supplier_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM suppliers s WHERE s.id = p.supplier_id)",
     "numeric_percentiles": "SELECT quantile_disc(p_retailprice, 0.25) AS p25, quantile_disc(p_retailprice, 0.75) AS p75 FROM part",
     "text_samples": "SELECT DISTINCT c_mktsegment FROM customer ORDER BY 1 LIMIT 5",
