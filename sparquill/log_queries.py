@@ -77,7 +77,7 @@ def _outcome(part: float = 0.05) -> str:
 
 
 _TOTALS = """count(*) AS n_runs, round(sum(native_ms), 3) AS native_ms, round(sum(served_ms), 3) AS served_ms, round(sum(best_ms), 3) AS best_ms,
-  round(avg(native_ms), 4) AS avg_native_ms, round(avg(served_ms), 4) AS avg_served_ms, round((sum(native_ms) - sum(served_ms)) / sum(native_ms) * 100, 4) AS improvement_pct, round(sum(native_ms) - sum(best_ms), 3) AS headroom_ms,
+  round(avg(native_ms), 8) AS avg_native_ms, round(avg(served_ms), 8) AS avg_served_ms, round((sum(native_ms) - sum(served_ms)) / sum(native_ms) * 100, 4) AS improvement_pct, round(sum(native_ms) - sum(best_ms), 3) AS headroom_ms,
   round(CASE WHEN sum(native_ms) - sum(best_ms) > 0 THEN (sum(native_ms) - sum(served_ms)) / (sum(native_ms) - sum(best_ms)) * 100 END, 4) AS captured_pct,
   count(*) FILTER (WHERE deviated) AS n_deviated, count(*) FILTER (WHERE NOT deviated) AS n_kept_native"""
 

@@ -132,7 +132,7 @@ ORACLES = {
       sv AS (SELECT query_id, any_value(native_ms) AS nat, min(median_ms) AS ora, arg_min(median_ms, (cost, hint IS NOT NULL, coalesce(hint, ''))) AS heu, arg_min(median_ms, (mean, hint IS NOT NULL, coalesce(hint, ''))) AS gre,
         arg_min(median_ms, (mean + std, hint IS NOT NULL, coalesce(hint, ''))) AS ris FROM ev GROUP BY query_id),
       ps AS (SELECT nat, ora, heu, unnest([{{'p': 'native', 'ms': nat}}, {{'p': 'heuristic', 'ms': heu}}, {{'p': 'oracle', 'ms': ora}}, {{'p': 'greedy', 'ms': gre}}, {{'p': 'risk_averse', 'ms': ris}}]) AS x FROM sv)
-      SELECT x.p AS policy, count(*) AS n_queries, round(avg(x.ms), 4) AS avg_ms, round(CASE WHEN sum(nat) - sum(ora) > 0 THEN (sum(nat) - sum(x.ms)) / (sum(nat) - sum(ora)) * 100 END, 4) AS captured_pct,
+      SELECT x.p AS policy, count(*) AS n_queries, round(avg(x.ms), 8) AS avg_ms, round(CASE WHEN sum(nat) - sum(ora) > 0 THEN (sum(nat) - sum(x.ms)) / (sum(nat) - sum(ora)) * 100 END, 4) AS captured_pct,
         round(avg((x.ms <= heu)::INT), 6) AS ties_heuristic FROM ps GROUP BY 1""",
     "model_errors": f"{_M} SELECT count(*) AS n_rows, round(avg(abs(target - mean)), 6) AS mae, round(exp(avg(abs(target - mean))), 6) AS typical_factor, round(avg(std), 6) AS mean_std FROM sc",
     "calibration_sweep": f"""{_decided(1.0, 0.05, 0.0)}, s AS (SELECT native_ms, pick_ms AS pick, exp(mean + z * std) < 1 - gain AS goes, z, gain
@@ -167,13 +167,13 @@ ORACLES |= {
     "challenger_score": f"""{_M}, ids AS (SELECT query_id, row_number() OVER (ORDER BY query_id) AS place, count(*) OVER () AS n FROM (SELECT DISTINCT query_id FROM h)),
       x AS (SELECT h.query_id, h.hint, h.median_ms, CASE WHEN h.hint IS NULL THEN 0 ELSE mean + std END AS score FROM h JOIN ids ON h.query_id = ids.query_id AND place > n - greatest(1, round_even(n * 0.25, 0)) LEFT JOIN model ON h.hint = model.hint
         WHERE h.hint IS NULL OR mean IS NOT NULL),
-      y AS (SELECT query_id, arg_min(median_ms, (score, hint IS NOT NULL, coalesce(hint, ''))) AS ms FROM x GROUP BY query_id) SELECT count(*) AS n_queries, round(avg(ms), 4) AS avg_ms FROM y""",
+      y AS (SELECT query_id, arg_min(median_ms, (score, hint IS NOT NULL, coalesce(hint, ''))) AS ms FROM x GROUP BY query_id) SELECT count(*) AS n_queries, round(avg(ms), 8) AS avg_ms FROM y""",
     "promotion_gate": f"""{_M}, ids AS (SELECT query_id, row_number() OVER (ORDER BY query_id) AS place, count(*) OVER () AS n FROM (SELECT DISTINCT query_id FROM h)),
       nid AS (SELECT query_id, row_number() OVER (ORDER BY query_id) AS place, count(*) OVER () AS n FROM (SELECT DISTINCT query_id FROM h WHERE hint IS NULL)),
       x AS (SELECT h.query_id, h.hint, h.median_ms, CASE WHEN h.hint IS NULL THEN 0 ELSE mean + std END AS score FROM h JOIN ids ON h.query_id = ids.query_id AND place > n - greatest(1, round_even(n * 0.25, 0)) LEFT JOIN model ON h.hint = model.hint
         WHERE h.hint IS NULL OR mean IS NOT NULL),
       y AS (SELECT query_id, arg_min(median_ms, (score, hint IS NOT NULL, coalesce(hint, ''))) AS ms FROM x GROUP BY query_id),
-      z AS (SELECT round(avg(h.median_ms), 4) AS a FROM h JOIN nid ON h.query_id = nid.query_id AND place > n - greatest(1, round_even(n * 0.25, 0)) WHERE hint IS NULL),
-      r AS (SELECT (SELECT a FROM z) AS champion_ms, (SELECT round(avg(ms), 4) FROM y) AS challenger_ms)
+      z AS (SELECT round(avg(h.median_ms), 8) AS a FROM h JOIN nid ON h.query_id = nid.query_id AND place > n - greatest(1, round_even(n * 0.25, 0)) WHERE hint IS NULL),
+      r AS (SELECT (SELECT a FROM z) AS champion_ms, (SELECT round(avg(ms), 8) FROM y) AS challenger_ms)
       SELECT champion_ms, challenger_ms, coalesce((champion_ms - challenger_ms) / champion_ms > 0.02, false) AS promote FROM r""",
 }

@@ -99,7 +99,7 @@ def policy_report(labelled: DataFrame, model: DataFrame) -> DataFrame:
     each = served.select("native", "oracle", "heuristic", F.inline(F.array(*[F.struct(F.lit(n).alias("policy"), F.col(n).alias("ms")) for n in names])))
     room = F.sum("native") - F.sum("oracle")
     return each.groupBy("policy").agg(
-        F.count(F.lit(1)).alias("n_queries"), F.round(F.avg("ms"), 4).alias("avg_ms"), F.round(F.when(room > 0, (F.sum("native") - F.sum("ms")) / room * 100), 4).alias("captured_pct"),
+        F.count(F.lit(1)).alias("n_queries"), F.round(F.avg("ms"), 8).alias("avg_ms"), F.round(F.when(room > 0, (F.sum("native") - F.sum("ms")) / room * 100), 4).alias("captured_pct"),
         F.round(F.avg((F.col("ms") <= F.col("heuristic")).cast("double")), 6).alias("ties_heuristic"),
     )
 
@@ -122,7 +122,7 @@ def challenger_score(labelled: DataFrame, model: DataFrame, part: float = 0.25)
     usable = known.where(F.col("hint").isNull() | F.col("mean").isNotNull())
     score = F.when(F.col("hint").isNull(), 0.0).otherwise(F.col("mean") + F.col("std"))
     served = usable.groupBy("query_id").agg(F.min_by("median_ms", F.struct(score, F.col("hint").isNotNull(), "hint")).alias("ms"))
-    return served.agg(F.count(F.lit(1)).alias("n_queries"), F.round(F.avg("ms"), 4).alias("avg_ms"))
+    return served.agg(F.count(F.lit(1)).alias("n_queries"), F.round(F.avg("ms"), 8).alias("avg_ms"))
 
 
 def pairwise_pairs(labelled: DataFrame, most: int = MOST_PAIRS) -> DataFrame:

@@ -72,7 +72,7 @@ def _totals() -> list[Column]:
     room = n - b
     return [
         F.count(F.lit(1)).alias("n_runs"), F.round(n, 3).alias("native_ms"), F.round(s, 3).alias("served_ms"), F.round(b, 3).alias("best_ms"),
-        F.round(F.avg("native_ms"), 4).alias("avg_native_ms"), F.round(F.avg("served_ms"), 4).alias("avg_served_ms"), F.round((n - s) / n * 100, 4).alias("improvement_pct"), F.round(room, 3).alias("headroom_ms"),
+        F.round(F.avg("native_ms"), 8).alias("avg_native_ms"), F.round(F.avg("served_ms"), 8).alias("avg_served_ms"), F.round((n - s) / n * 100, 4).alias("improvement_pct"), F.round(room, 3).alias("headroom_ms"),
         F.round(F.when(room > 0, (n - s) / room * 100), 4).alias("captured_pct"),
         F.count_if("deviated").alias("n_deviated"), F.count_if(~F.col("deviated")).alias("n_kept_native"),
     ]
