@@ -56,7 +56,7 @@ def _last_order(query: spj.SpjQuery) -> actions.Action:
     return actions.Action("last order", order=order)
 
 
-LEARNED = ("spj_3way", "spj_4way_trap")
+LEARNED = ("spj_3way", "spj_4way_trap", "spj_5way")
 
 
 def _derived_log(engine: Engine, statements: dict[str, str]) -> None:
@@ -74,10 +74,10 @@ def _derived_log(engine: Engine, statements: dict[str, str]) -> None:
 def _learned(spark: SparkSession, folder: str) -> DataFrame:
     """What an engine trained on a derived log serves, and why; the served plans are run once."""
     database = catalog.register_folder(spark, folder, STAR_AND_SHOP, analyze=False)
-    engine = Engine(spark, database, ExecutionLog(spark, f"{application_folder(spark)}/derived-{uuid.uuid4().hex}"))
+    engine = Engine(spark, database, ExecutionLog(spark, f"{application_folder(spark)}/derived-{uuid.uuid4().hex}"), strategies=False)
     statements = {n: join_queries(database)[n] for n in LEARNED}
     _derived_log(engine, statements)
-    engine.train()
+    engine.train(rank=False)
     out = []
     for name, sql in statements.items():
         decision, _, _ = engine.plan_query(sql, name)

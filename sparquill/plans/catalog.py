@@ -55,10 +55,11 @@ def refresh_statistics(spark: SparkSession, database: str, only_missing: bool =
 
 
 def row_count(spark: SparkSession, table: str) -> int | None:
-    """Rows of a table by its statistics; None without."""
-    found = spark.sql(f"DESCRIBE EXTENDED {table}").where("col_name = 'Statistics'").select("data_type").collect()
-    words = found[0][0].replace(",", "").split() if found else []
-    return int(words[words.index("rows") - 1]) if "rows" in words else None
+    """Rows of a table by its statistics in the catalog; None without."""
+    session = spark._jsparkSession.sessionState()
+    stats = session.catalog().getTableMetadata(session.sqlParser().parseTableIdentifier(table)).stats()
+    rows = stats.get().rowCount() if stats.isDefined() else None
+    return int(str(rows.get())) if rows is not None and rows.isDefined() else None
 
 
 def cardinalities(spark: SparkSession, database: str) -> dict[str, int]:
