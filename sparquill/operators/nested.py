@@ -278,6 +278,53 @@ class StructuralIndex:
         return begin, end
 
 
+    def _opened(self, name: bytes, spans: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``spans``, token) of the brackets of a kind that begin the value of key ``name``."""
+        at, span = self.keys(name)
+        place = np.full(len(self.span_row), -1)
+        place[spans] = np.arange(len(spans))
+        i = place[span] if len(span) else span
+        at, i = at[i >= 0], i[i >= 0]
+        opened = self.kind[np.minimum(at + 3, len(self.kind) - 1)] == kind if len(at) else np.zeros(0, bool)
+        return i[opened], at[opened] + 3
+
+    def _span_at(self, token: np.ndarray) -> np.ndarray:
+        """The spans that the opening brackets at tokens begin."""
+        return np.searchsorted(self._open_key, (self.row[token] * self._levels + self.depth[token]) * self._width() + self.pos[token])
+
+    def inner(self, name: bytes, spans: np.ndarray) -> np.ndarray:
+        """The object that is the value of key ``name`` in each of ``spans``; -1 without one."""
+        out = np.full(len(spans), -1)
+        i, token = self._opened(name, spans, _OPEN_OBJECT)
+        out[i] = self._span_at(token)
+        return out
+
+    def items(self, name: bytes, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(place in ``spans``, number, begin, end) of the scalars of the arrays of key ``name``, in
+        order; null, objects and arrays among an array's items keep their numbers, begin being -1."""
+        i, token = self._opened(name, spans, _OPEN_ARRAY)
+        close = np.searchsorted(self.pos, self.span_end[self._span_at(token)]) if len(token) else token
+        length = close - token
+        owner = np.repeat(np.arange(len(token)), length)
+        t = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length) + token[owner]
+        # an item begins after the bracket and after each comma of its level
+        own = (self.depth[t] == self.depth[token[owner]]) & ((t == token[owner]) | (self.kind[t] == _COMMA)) if len(t) else np.zeros(0, bool)
+        t, owner = t[own], owner[own]
+        begin, end = self.pos[t] + 1, self.pos[t + 1]
+        string = self.kind[t + 1] == _QUOTE
+        bare = (self.kind[t + 1] == _COMMA) | (self.kind[t + 1] == _CLOSE_ARRAY)
+        empty = bare & (np.add.reduceat(~_IS_SPACE[np.append(self.data, 32)], np.stack([begin, end], 1).ravel())[::2] == 0) if len(t) else bare
+        empty |= bare & (begin >= end)
+        t, owner, begin, end, string, bare = (x[~empty] for x in (t, owner, begin, end, string, bare))
+        at = np.flatnonzero(bare)
+        begin[at], end[at] = self._trimmed(begin[at], end[at])
+        begin[string], end[string] = self.pos[t[string] + 1] + 1, self.pos[np.minimum(t[string] + 2, len(self.pos) - 1)]
+        bare[at] = self.data[begin[at]] != ord("n")
+        begin[~(string | bare)] = -1
+        first = np.searchsorted(owner, owner)
+        return i[owner], np.arange(len(owner)) - first, begin, end
+
+
 def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; a null is an empty text."""
     column = column.cast(pa.large_binary())
@@ -336,16 +383,31 @@ def _slices(data: np.ndarray, begin: np.ndarray, end: np.ndarray, kind: pa.DataT
     return pa.compute.if_else(pa.array(~null), text, pa.scalar(None, text.type)) if null.any() else text
 
 
-def flatten_nodes(df: DataFrame, id_col: str, json_col: str, node_key: str, attributes: Sequence[str] = ()) -> DataFrame:
+def _column(index: StructuralIndex, attribute: str | Sequence[str], spans: np.ndarray) -> pa.Array:
+    """The scalars of an attribute of objects, or of one inside inner objects, by its path."""
+    path = [attribute] if isinstance(attribute, str) else list(attribute)
+    for name in path[:-1]:
+        below = np.full(len(spans), -1)
+        some = np.flatnonzero(spans >= 0)
+        below[some] = index.inner(name.encode(), spans[some])
+        spans = below
+    begin, end = np.full(len(spans), -1), np.full(len(spans), -1)
+    some = np.flatnonzero(spans >= 0)
+    begin[some], end[some] = index.values(path[-1].encode(), spans[some])
+    return _slices(index.data, begin, end)
+
+
+def flatten_nodes(df: DataFrame, id_col: str, json_col: str, node_key: str, attributes: Sequence[str | Sequence[str]] = ()) -> DataFrame:
     """One row per object that has the key ``node_key``, linked to its parent and its record.
 
     Columns: ``id`` (of ``id_col``), ``node_no`` (from 0 in the order in which objects begin),
     ``parent_no`` (nearest enclosing node, -1 without one), ``depth``, ``inside`` (how many nodes
     follow that are inside this one), and for each of ``attributes`` a string column ``attr_<i>``: the node's scalar of that key, null if absent,
-    null or not scalar. A JSON text inside a JSON string counts as the text it holds. Null, empty
+    null or not scalar. An attribute given as several names is that of an inner object, by its
+    path. A JSON text inside a JSON string counts as the text it holds. Null, empty
     and incomplete texts, and scalars, have no nodes. The texts are read whole.
     """
-    key, names = node_key.encode(), [a.encode() for a in attributes]
+    key, names = node_key.encode(), list(attributes)
     id_type = df.schema[id_col].dataType.simpleString()
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,10 +420,35 @@ def flatten_nodes(df: DataFrame, id_col: str, json_col: str, node_key: str, attr
                 out = [
                     ids.take(pa.array(rows[found["row"]])),
                     *[pa.array(found[c].astype(np.int32)) for c in ("no", "parent", "depth", "inside")],
-                    *[_slices(index.data, *index.values(a, found["span"])) for a in names],
+                    *[_column(index, a, found["span"]) for a in names],
                 ]
                 yield pa.RecordBatch.from_arrays(out, ["id", "node_no", "parent_no", "depth", "inside", *[f"attr_{i}" for i in range(len(names))]])
 
     extra = "".join(f", attr_{i} string" for i in range(len(names)))
     texts = df.select(F.col(id_col).alias("id"), F.col(json_col).alias("text"))
     return texts.mapInArrow(expand, f"id {id_type}, node_no int, parent_no int, depth int, inside int{extra}")
+
+
+def flatten_lists(df: DataFrame, id_col: str, json_col: str, node_key: str, lists: Sequence[str]) -> DataFrame:
+    """One row per item of the nodes' arrays, linked to the nodes of ``flatten_nodes``.
+
+    Columns: ``id``, ``node_no``, ``list_name`` (one of ``lists``), ``item_no`` from 0 and
+    ``value``: a scalar as ``flatten_nodes`` gives it, null for null, objects and arrays.
+    Empty arrays and nodes without the array give no rows; texts count as there.
+    """
+    key = node_key.encode()
+    id_type = df.schema[id_col].dataType.simpleString()
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, column = batch.column(0), batch.column(1)
+            for rows, index in _chunks(column):
+                found = index.nodes(key)
+                for name in lists if len(found["row"]) else ():
+                    node, no, begin, end = index.items(name.encode(), found["span"])
+                    if len(node):
+                        out = [ids.take(pa.array(rows[found["row"][node]])), pa.array(found["no"][node].astype(np.int32)), pa.array([name] * len(node)), pa.array(no.astype(np.int32)), _slices(index.data, begin, end)]
+                        yield pa.RecordBatch.from_arrays(out, ["id", "node_no", "list_name", "item_no", "value"])
+
+    texts = df.select(F.col(id_col).alias("id"), F.col(json_col).alias("text"))
+    return texts.mapInArrow(expand, f"id {id_type}, node_no int, list_name string, item_no int, value string")

@@ -56,17 +56,21 @@ def _last_order(query: spj.SpjQuery) -> actions.Action:
     return actions.Action("last order", order=order)
 
 
+def _shuffles(plan: extract.Plan) -> bool:
+    """Do all joins of a plan shuffle their inputs?"""
+    return {n.kind for n in plan.nodes if n.join_type} <= {"SortMergeJoin", "ShuffledHashJoin"}
+
+
 LEARNED = ("spj_3way", "spj_4way_trap", "spj_5way")
 
 
 def _derived_log(engine: Engine, statements: dict[str, str]) -> None:
-    """Log every plan of some statements with a time that its joins alone decide: plans that merge
-    sorted inputs throughout take a fifth of the native plan's time, others half as much again."""
+    """Log every plan of some statements with a time that its joins alone decide: plans that neither
+    broadcast nor multiply take a fifth of the native plan's time, others half as much again."""
     entries = []
     for name, sql in statements.items():
         for label, plan in engine.plans_of(sql).items():
-            merged = {n.kind for n in plan.nodes if n.join_type} == {"SortMergeJoin"}
-            plan.actual_ms = 100.0 if label is None else 20.0 if merged else 150.0
+            plan.actual_ms = 100.0 if label is None else 20.0 if _shuffles(plan) else 150.0
             entries.append({"query_id": name, "sql_text": sql, "plan": plan, "is_baseline": label is None, "is_chosen": False, "selector_used": "collection"})
     engine.log.append(entries)
 
@@ -81,9 +85,8 @@ def _learned(spark: SparkSession, folder: str) -> DataFrame:
     out = []
     for name, sql in statements.items():
         decision, _, _ = engine.plan_query(sql, name)
-        joins = sorted({n.kind for n in decision.plan.nodes if n.join_type})
-        out.append((name, ", ".join(joins), decision.reason, decision.deviated, extract.run_plan(decision.plan).n_rows))
-    return spark.createDataFrame(out, "query string, joins string, reason string, deviated boolean, n_rows long")
+        out.append((name, _shuffles(decision.plan), decision.reason, decision.deviated, extract.run_plan(decision.plan).n_rows))
+    return spark.createDataFrame(out, "query string, shuffles boolean, reason string, deviated boolean, n_rows long")
 
 
 def _orphans(spark: SparkSession, folder: str) -> DataFrame:
@@ -158,7 +161,7 @@ def _advice_sql(q_limit: float, least_rows: int, discarded: float, least_columns
 ORACLES = {
     **{n: sql for n, sql in join_queries("").items()},
     **{n: join_queries("")["spj_4way_trap"] for n in ("order_rewrite", "strategy_merge", "strategy_shuffle_hash", "strategy_broadcast")},
-    "learned_pick": " UNION ALL ".join(f"SELECT '{n}' AS query, 'SortMergeJoin' AS joins, 'confident_gain' AS reason, true AS deviated, count(*) AS n_rows FROM ({join_queries('')[n]})" for n in LEARNED),
+    "learned_pick": " UNION ALL ".join(f"SELECT '{n}' AS query, true AS shuffles, 'confident_gain' AS reason, true AS deviated, count(*) AS n_rows FROM ({join_queries('')[n]})" for n in LEARNED),
     "strategy_cartesian": join_queries("")["spj_3way"],
     "plan_tree_features": f"""{_NODES}{_KIDS}, e AS (SELECT n.*, k.n_kids, k.kid_rows, k.least, k.most FROM nodes n LEFT JOIN kids k ON n.exec_id = k.exec_id AND n.node_id = k.node_id)
       SELECT exec_id, max(depth)::DOUBLE AS tree_depth, count(*) FILTER (WHERE n_kids IS NULL)::DOUBLE AS tree_leaves,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,8 +57,7 @@ def refresh_statistics(spark: SparkSession, database: str, only_missing: bool =
 
 def row_count(spark: SparkSession, table: str) -> int | None:
     """Rows of a table by its statistics in the catalog; None without."""
-    session = spark._jsparkSession.sessionState()
-    stats = session.catalog().getTableMetadata(session.sqlParser().parseTableIdentifier(table)).stats()
+    stats = _metadata(spark, table).stats()
     rows = stats.get().rowCount() if stats.isDefined() else None
     return int(str(rows.get())) if rows is not None and rows.isDefined() else None
 
@@ -165,21 +165,47 @@ def infer_keys(columns: dict[str, dict[str, T.DataType]], known: list[ForeignKey
     return out
 
 
+#: The table property that declares foreign keys: "column -> table.column, ...".
+KEYS_PROPERTY = "sparquill.foreign_keys"
+
+
+def _metadata(spark: SparkSession, table: str):
+    session = spark._jsparkSession.sessionState()
+    return session.catalog().getTableMetadata(session.sqlParser().parseTableIdentifier(table))
+
+
+def declared_keys(spark: SparkSession, database: str) -> list[ForeignKey]:
+    """The edges that table properties declare; what is not of their form is passed over."""
+    out = []
+    for t in table_names(spark, database):
+        found = _metadata(spark, f"{database}.{t}").properties().get(KEYS_PROPERTY)
+        for part in found.get().split(",") if found.isDefined() else ():
+            m = re.fullmatch(r"\s*(\w+)\s*->\s*(\w+)\.(\w+)\s*", part)
+            if m:
+                out.append(ForeignKey(t, *m.groups()))
+    return out
+
+
+def layout_columns(spark: SparkSession, table: str) -> list[str]:
+    """The columns that a table is partitioned, bucketed and, within buckets, sorted by."""
+    found = [c.name for c in spark.catalog.listColumns(table) if c.isPartition or c.isBucket]
+    spec = _metadata(spark, table).bucketSpec()
+    names = spec.get().sortColumnNames() if spec.isDefined() else None
+    return found + ([names.apply(i) for i in range(names.size())] if names is not None else [])
+
+
 def discover(spark: SparkSession, database: str, declared: list[ForeignKey] | None = None) -> SchemaGraph:
-    """The graph of a database; edges are inferred only where none are declared."""
+    """The graph of a database; edges are inferred only where none are declared, be it here or by
+    table properties."""
     columns = {t: {f.name: f.dataType for f in spark.table(f"{database}.{t}").schema} for t in table_names(spark, database)}
-    known = [k for k in declared or [] if k.table in columns and k.target in columns]
+    known = [k for k in declared or declared_keys(spark, database) if k.table in columns and k.target in columns]
     return SchemaGraph(columns, cardinalities(spark, database), known or infer_keys(columns))
 
 
 def unclustered_keys(spark: SparkSession, database: str, graph: SchemaGraph) -> list[ForeignKey]:
-    """Edges whose column is neither a bucket nor a partition column of its table."""
-    out = []
-    for k in graph.keys:
-        clustered = {c.name for c in spark.catalog.listColumns(f"{database}.{k.table}") if c.isBucket or c.isPartition}
-        if k.column not in clustered:
-            out.append(k)
-    return out
+    """Edges whose column is no part of its table's layout."""
+    layouts = {k.table: layout_columns(spark, f"{database}.{k.table}") for k in graph.keys}
+    return [k for k in graph.keys if k.column not in layouts[k.table]]
 
 
 def without_layout(edges: DataFrame, layouts: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparquill.operators.anomalies import implausible_readings, reading_states, state_agreement
 from sparquill.operators.balance import balanced_aggregate, balanced_join
-from sparquill.operators.nested import flatten_nodes
+from sparquill.operators.nested import flatten_lists, flatten_nodes
 from sparquill.sources.tables import table, widened
 
 LOG = "plan_execution_log"
@@ -69,7 +69,24 @@ def p7_nodes(spark: SparkSession, folder: str) -> DataFrame:
     return nodes.select("id", "node_no", "parent_no", "depth", *named)
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_profile, p3_join, p4_found, p4_agreement, p7_found, p7_nodes)}
+#: Arrays of scalars inside plan nodes.
+NODE_LISTS = ("Output", "Sort Key", "Group Key")
+
+
+def p7_lists(spark: SparkSession, folder: str) -> DataFrame:
+    """Items of the plan nodes' arrays, linked to their nodes."""
+    return flatten_lists(widened(table(spark, folder, LOG).select("id", "raw_plan")), "id", "raw_plan", "Node Type", NODE_LISTS)
+
+
+def p7_buffers(spark: SparkSession, folder: str) -> DataFrame:
+    """Block counts of the plan nodes that have them, from the objects inside the nodes."""
+    paths = {"shared_hit": ("Buffers", "Shared", "Hit Blocks"), "shared_read": ("Buffers", "Shared", "Read Blocks"), "temp_written": ("Buffers", "Temp", "Written Blocks")}
+    nodes = flatten_nodes(widened(table(spark, folder, LOG).select("id", "raw_plan")), "id", "raw_plan", "Node Type", list(paths.values()))
+    counts = [F.col(f"attr_{i}").try_cast("double").alias(n) for i, n in enumerate(paths)]
+    return nodes.select("id", "node_no", *counts).where(F.coalesce(*paths).isNotNull())
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_profile, p3_join, p4_found, p4_agreement, p7_found, p7_nodes, p7_lists, p7_buffers)}
 
 _P4 = """
 WITH r AS (
@@ -121,6 +138,11 @@ ORACLES = {
         SELECT w.join_width, count(*) AS n_rows FROM plan_execution_log l JOIN workload_item w ON l.query_id = w.id GROUP BY w.join_width""",
     "p4_found": _P4,
     "p7_found": f"{_NODES} SELECT id, node_no, parent_no FROM p",
+    "p7_lists": " UNION ALL ".join(
+        f"""({_NODES} SELECT id, node_no, '{n}' AS list_name, unnest(range(len(x)))::INT AS item_no, unnest(x) AS value FROM (SELECT id, node_no, json_extract_string(v, '$."{n}"[*]') AS x FROM p))""" for n in NODE_LISTS
+    ),
+    "p7_buffers": f"""{_NODES} SELECT * FROM (SELECT id, node_no, try_cast(v ->> '$.Buffers.Shared."Hit Blocks"' AS DOUBLE) AS shared_hit, try_cast(v ->> '$.Buffers.Shared."Read Blocks"' AS DOUBLE) AS shared_read,
+        try_cast(v ->> '$.Buffers.Temp."Written Blocks"' AS DOUBLE) AS temp_written FROM p) WHERE coalesce(shared_hit, shared_read, temp_written) IS NOT NULL""",
     "p7_nodes": f"""{_NODES} SELECT id, node_no, parent_no, depth, v ->> '$."Node Type"' AS node_type, v ->> '$."Relation Name"' AS relation_name, v ->> '$."Alias"' AS alias, v ->> '$."Join Type"' AS join_type,
         try_cast(v ->> '$."Plan Rows"' AS DOUBLE) AS plan_rows, try_cast(v ->> '$."Total Cost"' AS DOUBLE) AS total_cost, try_cast(v ->> '$."Actual Rows"' AS DOUBLE) AS actual_rows,
         try_cast(v ->> '$."Actual Total Time"' AS DOUBLE) AS actual_total_time FROM p""",

@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sparquill.operators.nested import StructuralIndex, flatten_nodes, unwrap
+from sparquill.operators.nested import StructuralIndex, flatten_lists, flatten_nodes, unwrap
 
 KEY = "Node Type"
 
@@ -100,3 +100,30 @@ def test_rows_and_attributes(spark):
     assert rows == [(1, 0, -1, 0, 1, "A", "3"), (1, 1, 0, 1, 0, 'B \\"q\\"', None), (4, 0, -1, 0, 0, "W", None)]
     assert flatten_nodes(df, "id", "raw", KEY).where("id = 5").count() == 3001
     assert flatten_nodes(df.limit(0), "id", "raw", KEY).count() == 0
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.lists(scalars | st.lists(scalars, max_size=2) | st.dictionaries(st.sampled_from(["a", "L"]), scalars, max_size=2), max_size=5), st.sampled_from([None, 0, 2])), min_size=1, max_size=4))
+def test_items_of_lists(lists):
+    texts = [json.dumps({KEY: 1, "x": {"L": ["no"]}, "L": items}, indent=i) for items, i in lists]
+    index = indexed(texts)
+    found = index.nodes(KEY.encode())
+    node, no, begin, end = index.items(b"L", found["span"])
+    got = [[] for _ in texts]
+    for k, n, a, b in zip(found["row"][node], no, begin, end, strict=True):
+        assert n == len(got[k])
+        raw = index.data[a:b].tobytes().decode()
+        quoted = a > 0 and index.data[a - 1 : a].tobytes() == b'"'
+        got[k].append(None if a < 0 else json.loads(f'"{raw}"' if quoted else raw))
+    want = [[x if isinstance(x, str | int | float | bool) else None for x in items] for items, _ in lists]
+    assert got == want
+
+
+def test_child_tables_and_inner_objects(spark):
+    texts = [(1, json.dumps({KEY: "A", "L": ["x", 2, None, {"L": [9]}], "In": {"Deep": {"v": 7}}, "Plans": [{KEY: "B", "L": []}, {KEY: "C", "L": [True]}]}), 0), (2, None, 0), (3, "{", 0), (4, json.dumps(json.dumps({KEY: "W", "L": ["w"]})), 0)]
+    df = spark.createDataFrame(texts, "id long, raw string, item_no int")
+    rows = sorted(map(tuple, flatten_lists(df, "id", "raw", KEY, ["L", "none"]).collect()))
+    assert rows == [(1, 0, "L", 0, "x"), (1, 0, "L", 1, "2"), (1, 0, "L", 2, None), (1, 0, "L", 3, None), (1, 2, "L", 0, "true"), (4, 0, "L", 0, "w")]
+    inner = flatten_nodes(df, "id", "raw", KEY, [("In", "Deep", "v"), ("In", "v"), "In"]).orderBy("id", "node_no").collect()
+    assert [(r["attr_0"], r["attr_1"], r["attr_2"]) for r in inner] == [("7", None, None)] + [(None, None, None)] * 3
+    assert flatten_lists(df.limit(0), "id", "raw", KEY, ["L"]).count() == 0
