@@ -53,6 +53,26 @@ def _sign(spark: SparkSession, folder: str) -> DataFrame:
     return H.sign_test(runs.select((F.col("native_ms") - F.col("served_ms")).alias("gain")), "gain")
 
 
+def _interval(spark: SparkSession, folder: str) -> DataFrame:
+    runs = A.matched_runs(table(spark, folder, LOG)).where("deviated")
+    key = F.concat_ws("#", "query_key", F.unix_micros(F.col("created_at").cast("timestamp")).cast("string"))
+    return H.bootstrap_interval(runs.withColumn("gain", F.col("native_ms") - F.col("served_ms")), key, "gain")
+
+
+def _subsets(spark: SparkSession, folder: str) -> DataFrame:
+    """Every set of three tables that edges connect."""
+    columns = {t: {f.name: f.dataType for f in table(spark, folder, t).schema} for t in KEYED}
+    graph = catalog.SchemaGraph(columns, {}, catalog.infer_keys(columns))
+    return spark.createDataFrame([(", ".join(sorted(s)),) for s in graph.connected_subsets(3, limit=10_000)], "tables string")
+
+
+def _shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The largest tables and their share of all rows, as a schema's summary gives them."""
+    rows = {t: table(spark, folder, t).count() for t in KEYED}
+    largest = catalog.SchemaGraph({t: {} for t in KEYED}, rows).summary()["largest"]
+    return spark.createDataFrame([(r["table"], r["rows"], round(r["share"], 8)) for r in largest], "table_name string, n_rows long, share double")
+
+
 def _edges(spark: SparkSession, folder: str) -> DataFrame:
     columns = {t: {f.name: f.dataType for f in table(spark, folder, t).schema} for t in KEYED}
     return catalog.SchemaGraph(columns, {}, catalog.infer_keys(columns)).edges(spark)
@@ -83,6 +103,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "promotion_gate": _on_model(_promotion),
     "pairwise_pairs": _on_labels(H.pairwise_pairs),
     "sign_test": _sign,
+    "bootstrap_ci": _interval,
+    "connected_subsets": _subsets,
+    "table_shares": _shares,
     "missed_plans": lambda spark, folder: A.missed_plans(table(spark, folder, LOG)),
     "plan_roles": lambda spark, folder: A.plan_roles(table(spark, folder, LOG)),
     "fk_inference": _edges,
@@ -149,6 +172,14 @@ ORACLES = {
     "sign_test": f"""{RUNS_SQL}, c AS (SELECT count(*) FILTER (WHERE native_ms > served_ms) AS a, count(*) FILTER (WHERE native_ms < served_ms) AS b FROM runs WHERE deviated),
       f AS (SELECT a, b, a + b AS n, unnest(range(0, least(a, b) + 1)) AS k FROM c)
       SELECT a AS n_positive, b AS n_negative, round(least(1, 2 * sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * ln(2)))), 6) AS p_value FROM f GROUP BY a, b""",
+    "bootstrap_ci": f"""{RUNS_SQL}, d AS (SELECT query_key || '#' || epoch_us(created_at) AS query_id, native_ms - served_ms AS v FROM runs WHERE deviated),
+      u AS (SELECT b, v, {_draw("b")} / 65536.0 AS u FROM d, (SELECT unnest(range(200)) AS b)),
+      w AS (SELECT b, v, {" + ".join(f"(u >= {t})::INT" for t in H._TAKEN)} AS w FROM u), m AS (SELECT list_sort(list(m)) AS ms FROM (SELECT sum(w * v) / sum(w) AS m FROM w GROUP BY b))
+      SELECT (SELECT count(*) FROM d) AS n, (SELECT round(avg(v), 6) FROM d) AS mean, round(ms[floor(len(ms) * 0.025)::INT + 1], 6) AS low, round(ms[floor(len(ms) * 0.975)::INT + 1], 6) AS high FROM m""",
+    "connected_subsets": f"""{_EDGES.replace("WITH c AS", "WITH RECURSIVE c AS")}, g AS (SELECT src_table AS a, tgt_table AS b FROM edges UNION SELECT tgt_table, src_table FROM edges),
+      w AS (SELECT DISTINCT [a] AS s FROM g UNION SELECT DISTINCT list_sort(list_append(w.s, g.b)) FROM w JOIN g ON list_contains(w.s, g.a) AND NOT list_contains(w.s, g.b) WHERE len(w.s) < 3)
+      SELECT array_to_string(s, ', ') AS tables FROM w WHERE len(s) = 3""",
+    "table_shares": "WITH n AS (" + " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in KEYED) + ") SELECT table_name, n_rows, round(n_rows / (SELECT sum(n_rows) FROM n), 8) AS share FROM n ORDER BY n_rows DESC LIMIT 10",
     "missed_plans": f"""WITH {READINGS_SQL}, g AS (SELECT query_key, created_at, min(ms) FILTER (WHERE is_baseline) AS native_ms, min(ms) FILTER (WHERE NOT is_baseline) AS missed_ms,
         arg_min(hint, (ms, id)) FILTER (WHERE NOT is_baseline) AS missed_hint, bool_or(is_chosen AND NOT is_baseline) AS left_native FROM v GROUP BY query_key, created_at)
       SELECT query_key, created_at, native_ms, missed_hint, missed_ms FROM g WHERE NOT left_native AND missed_ms < native_ms""",

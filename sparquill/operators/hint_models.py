@@ -168,3 +168,30 @@ def sign_test(differences: DataFrame, column: str) -> DataFrame:
     ks = F.when(few > 0, F.sequence(F.lit(1).cast("long"), few)).otherwise(F.array().cast("array<long>"))
     tail = F.aggregate(ks, start, step)["total"]
     return counts.select("n_positive", "n_negative", F.round(F.when(n > 0, F.least(2 * tail, F.lit(1.0))), 6).alias("p_value"))
+
+
+#: Up to which part of the draws a row is taken 0, 1, 2, ... times: the Poisson distribution of mean 1.
+_TAKEN = (0.367879, 0.735759, 0.919699, 0.98101, 0.99634, 0.999406)
+
+
+def bootstrap_interval(df: DataFrame, key: Column, column: str, resamples: int = 200, level: float = 0.95) -> DataFrame:
+    """One row (n, mean, low, high): the percentile interval of a column's mean by resampling.
+
+    A resample takes each row a Poisson number of times that depends on its ``key`` and the
+    resample alone, so one pass over any number of rows makes all of them; sums are combined
+    before the shuffle. Null values take no part; without two values the ends are null.
+    """
+    each = df.where(F.col(column).isNotNull()).select(key.alias("k"), F.col(column).cast("double").alias("v"))
+    b = F.explode(F.array(*[F.lit(i) for i in range(resamples)])).alias("b")
+    u = draw(F.col("k"), F.col("b")) / F.lit(65536.0)
+    times = sum((F.when(u >= t, 1).otherwise(0) for t in _TAKEN[1:]), F.when(u >= _TAKEN[0], 1).otherwise(0))
+    means = each.select("k", "v", b).withColumn("w", times).groupBy("b").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("m"))
+    ordered = means.where(F.col("m").isNotNull()).agg(F.sort_array(F.collect_list("m")).alias("ms"))  # ``resamples`` numbers
+    whole = each.agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"))
+    low = (1 - level) / 2
+    n = F.size("ms")
+    ends = ordered.select(F.get("ms", F.floor(F.round(n * low, 6)).cast("int")).alias("low"), F.get("ms", F.least(n - 1, F.floor(F.round(n * (1 - low), 6)).cast("int"))).alias("high"))
+    none = F.lit(None).cast("double")
+    both = whole.select("n", "mean", none.alias("low"), none.alias("high")).unionAll(ends.select(F.lit(0).cast("long"), none, "low", "high"))
+    out = both.agg(F.max("n").alias("n"), F.max("mean").alias("mean"), F.max("low").alias("low"), F.max("high").alias("high"))
+    return out.select("n", F.round("mean", 6).alias("mean"), *[F.round(F.when(F.col("n") > 1, F.col(c)), 6).alias(c) for c in ("low", "high")])
