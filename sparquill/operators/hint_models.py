@@ -185,7 +185,7 @@ def bootstrap_interval(df: DataFrame, key: Column, column: str, resamples: int =
     b = F.explode(F.array(*[F.lit(i) for i in range(resamples)])).alias("b")
     u = draw(F.col("k"), F.col("b")) / F.lit(65536.0)
     times = sum((F.when(u >= t, 1).otherwise(0) for t in _TAKEN[1:]), F.when(u >= _TAKEN[0], 1).otherwise(0))
-    means = each.select("k", "v", b).withColumn("w", times).groupBy("b").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("m"))
+    means = each.select("k", "v", b).withColumn("w", times).groupBy("b").agg(F.try_divide(F.sum(F.col("w") * F.col("v")), F.sum("w")).alias("m"))  # of few rows, a resample may take none
     ordered = means.where(F.col("m").isNotNull()).agg(F.sort_array(F.collect_list("m")).alias("ms"))  # ``resamples`` numbers
     whole = each.agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"))
     low = (1 - level) / 2
