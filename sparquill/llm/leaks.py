@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparquill.operators.balance import lookup
+from sparquill.sources.tables import widened
 from sparquill.storage import materialize
 
 
@@ -445,6 +446,6 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str,
     places = found.select("stretch", F.inline(F.arrays_zip(F.col("places").alias("at"), F.col("tokens").alias("token"))))
     anchors = lookup(places, prefixes.select("token", "item_key", "place"), ["token"], written=False).groupBy("stretch", "item_key").agg(F.collect_list(F.struct("at", "place")).alias("anchors"))  # within a stretch
     held = materialize(anchors.join(found.select("stretch", "doc_id", "letters", "edges"), "stretch"), "candidates")
-    passages = _verify(lookup(held, known, ["item_key"]).select("doc_id", "item_id", "letters", "edges", "anchors", "words"), rules)
+    passages = _verify(lookup(widened(held), known, ["item_key"]).select("doc_id", "item_id", "letters", "edges", "anchors", "words"), rules)
     best = passages.groupBy("doc_id", "item_id").agg(F.max(F.struct("words", (-F.col("changed")).alias("kept"))).alias("m"))
     return best.select("doc_id", "item_id", "m.words", (-F.col("m.kept")).alias("changed"))
