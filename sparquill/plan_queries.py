@@ -113,7 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "strategy_merge": _spj("spj_4way_trap", lambda q: actions.Action("m", strategy="MERGE")),
     "strategy_shuffle_hash": _spj("spj_4way_trap", lambda q: actions.Action("h", strategy="SHUFFLE_HASH")),
     "strategy_broadcast": _spj("spj_4way_trap", lambda q: actions.Action("b", strategy="BROADCAST", targets=("c", "n", "r"))),
-    "strategy_cartesian": _spj("spj_3way", lambda q: actions.Action("c", strategy="SHUFFLE_REPLICATE_NL")),
+    "strategy_cartesian": _spj("spj_3way", lambda q: actions.Action("c", strategy="SHUFFLE_REPLICATE_NL", blocks=True)),
     "learned_pick": _learned,
     "plan_tree_features": _plan_features,
     "plan_table_features": _table_features,
