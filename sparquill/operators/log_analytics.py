@@ -311,20 +311,33 @@ def noise_floor(log: DataFrame, min_reps: int = 3, warm: bool = False) -> DataFr
     return both.agg(F.max("n").alias("n_groups"), F.round(F.max("p0"), 6).alias("recommended_floor"), F.max("most").alias("max_spread"))
 
 
+def exact_sum(value: Column) -> Column:
+    """A sum of doubles that no order of the rows changes: whole parts and parts, in steps of
+    2 ** -60, are added as decimals. With values from 2 ** 52 on, or not finite, the plain sum."""
+    small = F.when(F.abs(value) < 2.0**52, value)
+    whole = F.when(small < 0, F.ceil(small)).otherwise(F.floor(small))
+    parts = ((small - whole) * 2.0**60).cast("long")
+    total = F.sum(whole.cast("decimal(20,0)")).cast("double") + F.sum(parts.cast("decimal(20,0)")).cast("double") / 2.0**60
+    return F.when(F.count(value) == F.count(small), total).otherwise(F.sum(value))
+
+
 def gate_sweep(scored: DataFrame, zs: Sequence[float], gains: Sequence[float]) -> DataFrame:
     """Replay of every gate setting over scored decisions.
 
     ``scored``: query_id, native_ms, pick_ms, mean, std (of the predicted log ratio). A setting
     deviates where exp(mean + z * std) < 1 - gain. The settings, not rows, are multiplied in.
+    Medians of readings of three decimals often leave the net time half-way between two roundings,
+    so its sums are exact.
     """
     settings = F.explode(F.array(*[F.struct(F.lit(float(z)).alias("z"), F.lit(float(g)).alias("gain")) for z in zs for g in gains]))
     each = scored.withColumn("s", settings)
     goes = F.exp(F.col("mean") + F.col("s.z") * F.col("std")) < 1 - F.col("s.gain")
     served = F.when(goes, F.col("pick_ms")).otherwise(F.col("native_ms"))
     lost = goes & (F.col("pick_ms") > F.col("native_ms"))
+    net = exact_sum(F.col("native_ms") - served)
     return each.groupBy(F.col("s.z").alias("z"), F.col("s.gain").alias("min_gain")).agg(
         F.round(F.avg(goes.cast("double")), 6).alias("deviation_rate"),
         F.round(F.when(F.count_if(goes) > 0, F.count_if(lost) / F.count_if(goes)), 6).alias("regression_rate"),
-        F.round(F.sum(F.col("native_ms") - served), 3).alias("net_ms"),
-        F.round(F.sum(F.col("native_ms") - served) / F.sum("native_ms") * 100, 4).alias("net_pct"),
+        F.round(net, 3).alias("net_ms"),
+        F.round(net / exact_sum(F.col("native_ms")) * 100, 4).alias("net_pct"),
     )
